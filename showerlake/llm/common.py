@@ -59,3 +59,14 @@ def fold_bucket(doc_id: Column, modulus: int) -> Column:
 def unit_hash(seed: int, *cols: Column) -> Column:
     """A uniform number in [0, 1) that depends on the columns and the seed alone."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
+
+
+#: Ids up to which a table of rows to drop is broadcast; a larger one is joined by shuffle.
+MOST_BROADCAST = 500_000
+
+
+def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of `docs` whose doc_id is not in `gone` (one column of ids); columns as they came."""
+    held = scratch.keep(gone.toDF("__gone"))
+    small = held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(held) if small else held, docs["doc_id"] == F.col("__gone"), "left_anti")

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table
+from .common import Scratch, table, without
 from .components import Forest, connected_components
 
 RADIUS = 3
@@ -191,6 +191,5 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the row with the smallest id stays; columns as they came."""
-    found = near_duplicates(docs, Scratch(spark, "near"))
-    gone = found.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    scratch = Scratch(spark, "near")
+    return without(docs, near_duplicates(docs, scratch).filter("doc_id != component_id").select("doc_id"), scratch)

@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import gc
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .lanes import WIDEST, Lanes
-from .pretokens import VOCABULARY, WHITE_SPACE, ranks, splitter
+from .pretokens import VOCABULARY, Words, ranks
 
 #: Words remembered by a worker before it starts afresh, and characters of text whose new words are learned together.
 CACHE = 300_000
@@ -166,25 +165,13 @@ class PrefixTable:
         return out[::-1]
 
 
-class Encoder:
-    """Text to ids and back; recent words and pre-tokens are remembered within a bound.
-
-    A single space whose neighbour on either side is no white space always begins a pre-token, so texts
-    are cut into words there first and a known word costs one lookup. Texts with other runs that hold
-    spaces are split as a whole by the pattern.
-    """
+class Encoder(Words):
+    """Text to ids and back; recent words are remembered within a bound."""
 
     def __init__(self, path: str):
-        self.vocabulary, self.find, self.seen = Vocabulary(ranks(path)), splitter().findall, {}
+        super().__init__()
+        self.vocabulary, self.seen = Vocabulary(ranks(path)), {}
         self.lanes = Lanes(self.vocabulary)
-        self.odd = re.compile(f"[{WHITE_SPACE}] (?![^{WHITE_SPACE}])").search
-
-    def words(self, text: str) -> list[str]:
-        if self.odd(text):
-            return self.find(text)
-        out = text.split(" ")
-        out[1:] = [" " + w for w in out[1:]]
-        return out if out[0] else out[1:]
 
     def learn(self, words: list[str]) -> None:
         """Remember the ids of new words; their pre-tokens share one pass of prefix tables."""
@@ -205,22 +192,10 @@ class Encoder:
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
         """Ids of each text; unknown words of some texts at a time are learned together."""
-        at, seen = 0, self.seen
-        while at < len(texts):
-            room, stop = GATHER, at
-            while stop < len(texts) and (stop == at or room > 0):
-                room -= len(texts[stop])
-                stop += 1
-            split = [self.words(t) for t in texts[at:stop]]
-            words = set().union(*split)
-            if new := words.difference(seen):
-                if len(seen) > CACHE:
-                    seen.clear()
-                    new = words
-                self.learn(list(new))
+        ids = self.seen.__getitem__
+        for split in self.learned(texts, CACHE, GATHER):
             for found in split:
-                yield list(chain.from_iterable(map(seen.__getitem__, found)))
-            at = stop
+                yield list(chain.from_iterable(map(ids, found)))
 
     def encode(self, text: str) -> list[int]:
         return next(self.encode_batch([text]))

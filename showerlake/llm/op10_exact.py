@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, table
+from .common import Scratch, ascii_lower, table, without
 
 #: Entries that a bucket holds before it splits, and the deepest directory (2**DEPTH slots).
 CAPACITY = 4096
@@ -106,6 +106,5 @@ FROM norm n JOIN sets s ON n.t = s.t
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts the row with the largest id stays; columns as they came."""
-    found = exact_groups(docs, Scratch(spark, "exact"))
-    gone = found.filter("not kept").select(F.col("doc_id").alias("__gone"))
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+    scratch = Scratch(spark, "exact")
+    return without(docs, exact_groups(docs, scratch).filter("not kept").select("doc_id"), scratch)

@@ -6,6 +6,7 @@ import base64
 import re
 import sys
 import unicodedata
+from collections.abc import Iterator
 from functools import lru_cache
 
 import public_tokenizers
@@ -47,19 +48,44 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
-class Recent:
-    """A bounded cache in two generations: what was not asked for while one filled up is forgotten."""
+class Words:
+    """Texts as words of few pre-tokens, so that what is known of a word costs one lookup.
 
-    def __init__(self, most: int):
-        self.most, self.new, self.old = most, {}, {}
+    A single space with no white space on one of its sides always begins a pre-token, so texts are cut
+    there. Texts with other runs that hold spaces are split as a whole by the pattern. Subclasses fill
+    `seen` for new words in learn().
+    """
+
+    seen: dict
+
+    def __init__(self):
+        self.find = splitter().findall
+        self.odd = re.compile(f"[{WHITE_SPACE}] (?![^{WHITE_SPACE}])").search
+
+    def words(self, text: str) -> list[str]:
+        if self.odd(text):
+            return self.find(text)
+        out = text.split(" ")
+        out[1:] = [" " + w for w in out[1:]]
+        return out if out[0] else out[1:]
 
-    def put(self, key, value) -> None:
-        if len(self.new) >= self.most:
-            self.old, self.new = self.new, {}
-        self.new[key] = value
+    def learn(self, words: list[str]) -> None:
+        raise NotImplementedError
 
-    def get(self, key):
-        found = self.new.get(key)
-        if found is None and (found := self.old.get(key)) is not None:
-            self.put(key, found)
-        return found
+    def learned(self, texts: list[str], cache: int, gather: int) -> Iterator[list[list[str]]]:
+        """The words of some texts at a time, about `gather` characters, all of them in `seen`."""
+        at = 0
+        while at < len(texts):
+            room, stop = gather, at
+            while stop < len(texts) and (stop == at or room > 0):
+                room -= len(texts[stop])
+                stop += 1
+            split = [self.words(t) for t in texts[at:stop]]
+            words = set().union(*split)
+            if new := words.difference(self.seen):
+                if len(self.seen) > cache:
+                    self.seen.clear()
+                    new = words
+                self.learn(list(new))
+            yield split
+            at = stop
