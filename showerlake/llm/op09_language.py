@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from itertools import combinations
+from math import sqrt
 
 import numpy as np
 import pandas as pd
@@ -26,7 +27,7 @@ FAMILIES = {
     "slavic": ["be", "bg", "cs", "hr", "mk", "pl", "ru", "sk", "sl", "sr", "uk"],
 }
 #: Trigram buckets, training rows per language (in expectation, chosen by a hash of the id), SVM settings.
-BITS, PER_LANGUAGE, COST, ROUNDS = 12, 800, 4.0, 120
+BITS, PER_LANGUAGE, COST, ROUNDS = 12, 600, 4.0, 60
 #: A prediction below this score is rejected by the pipeline stage.
 LEAST_SCORE = 0.05
 
@@ -50,14 +51,15 @@ def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     full = np.c_[x, np.ones(len(x), np.float32)]
     weight = np.where(y > 0, 0.5 / max((y > 0).mean(), 1e-9), 0.5 / max((y < 0).mean(), 1e-9)) / len(y)
     step = 1 / (1 / (COST * 100) + 4 * weight.max() * len(y))
-    w = z = np.zeros(full.shape[1])
+    y, weight = y.astype(np.float32), weight.astype(np.float32)  # so that no step copies the matrix to double
+    w = z = np.zeros(full.shape[1], np.float32)
     t = 1.0
     for _ in range(ROUNDS):
         slack = np.maximum(0, 1 - y * (full @ z))
-        new = z - step * (z / (COST * 100) - 2 * full.T @ (weight * y * slack))
-        after = (1 + np.sqrt(1 + 4 * t * t)) / 2
-        z, w, t = new + (t - 1) / after * (new - w), new, after
-    return w.astype(np.float32)
+        new = z - np.float32(step) * (z / np.float32(COST * 100) - 2 * (full.T @ (weight * y * slack)))
+        after = (1 + sqrt(1 + 4 * t * t)) / 2
+        z, w, t = new + np.float32((t - 1) / after) * (new - w), new, after
+    return w
 
 
 class LanguageModel:
@@ -71,7 +73,11 @@ class LanguageModel:
         self.families = sorted(set(fam.tolist()))
         self.members = {f: [n for n in names if home.get(n, n) == f] for f in self.families}
         sign = lambda hit: np.where(hit, 1.0, -1.0)
-        self.outer = [svm(x, sign(fam == f)) for f in self.families] if len(self.families) > 1 else []
+        if len(self.families) == 2:
+            first = svm(x, sign(fam == self.families[0]))
+            self.outer = [first, -first]
+        else:
+            self.outer = [svm(x, sign(fam == f)) for f in self.families] if self.families[1:] else []
         self.inner = {}
         for f, found in self.members.items():
             for a, b in combinations(found, 2):
