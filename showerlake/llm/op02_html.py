@@ -170,12 +170,23 @@ LABELLED = """
 0 1 1 25 0 0 0 0 0 0 1
 0 1 1 6 0.5 40 0 40 0 0 1
 0 1 1 5 1.0 40 0 30 0 0 1
+0 1 1 5 0 40 0 3 1.0 0 1
+0 1 1 30 0 20 0 4 0.6 0 1
+0 1 1 3 0 2 1.0 4 1.0 1 1
+0 1 1 12 0 3 1.0 2 0.5 0 1
+0 1 1 4 0.9 5 0.9 6 1.0 0 1
+0 1 1 2 0 4 0.5 2 0.5 0 1
+0 1 1 70 0.7 3 1.0 9 0.8 0 1
 0 0 1 5 0 3 1.0 9 0 0 0
 0 0 1 20 0 60 0 10 1.0 0 0
 0 0 1 40 0 90 0 0 0 0 0
 0 0 1 3 1.0 0 0 3 1.0 0 0
 0 0 1 2 0.0 0 0 9 0 0 0
 0 0 1 10 0 80 0 4 0.5 0 0
+0 0 1 30 0 30 0 30 0 0 0
+0 0 1 6 0.9 6 0.9 6 0.9 0 0
+0 0 1 50 0.2 20 0 3 0.3 0 0
+0 0 1 12 0 9 0 15 0 1 0
 0 0 0 80 0 10 0 60 0 0 1
 0 0 0 60 0.05 80 0 70 0 0 1
 0 0 0 25 0 60 0 40 0 0 1
@@ -185,6 +196,9 @@ LABELLED = """
 0 0 0 8 0 2 1.0 60 0 1 1
 0 0 0 5 0 90 0 50 0 1 1
 0 0 0 30 0 0 0 0 0 0 1
+0 0 0 45 0 60 0 3 1.0 0 1
+0 0 0 20 0.1 60 0 4 0.8 0 1
+0 0 0 5 0 6 1.0 70 0 1 1
 0 0 0 12 0 0 0 30 0 0 1
 0 0 0 3 0 0 0 0 0 0 1
 0 0 0 7 0 0 0 9 0 0 1
