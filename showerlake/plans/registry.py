@@ -2,16 +2,43 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None):
+    """Register a query under a name, with its SQL where there is one."""
+
+    def keep(function):
+        QUERIES[name] = function
+        if sql is not None:
+            SQL[name] = sql
+        return function
+
+    return keep
+
+
+def r(column: Column | str, digits: int = 4) -> Column:
+    """Rounded, without negative zero; comparable between engines."""
+    c = F.col(column) if isinstance(column, str) else column
+    return F.round(c, digits) + F.lit(0.0)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    return queries()["d_closest_pair"](spark, sf_dir)
+
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import columns, graphs, relations, statistics  # noqa: F401  they register on import
 
-def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    queries()
+    return dict(SQL)
