@@ -15,7 +15,8 @@ def _level(front: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
 def descendants(starts: DataFrame, edges: DataFrame, depth: int, keys: list[str] = KEYS) -> DataFrame:
     """(keys, start, node, depth) of all nodes reachable in at most `depth` steps, starts included.
 
-    `depth` bounds the unrolled plan; for a graph of unknown depth use descendants_until_done.
+    The plan is unrolled and repeats shallow levels for deeper ones, so this is for a few levels; for a deep
+    graph or an unknown depth use descendants_until_done.
     """
     front = starts.select(*keys, "start", F.col("start").alias("node")).distinct()
     out = front.withColumn("depth", F.lit(0))

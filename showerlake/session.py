@@ -36,3 +36,14 @@ def ship(spark: SparkSession) -> None:
             z.write(path, path.relative_to(root.parent))
     context.addPyFile(str(target))
     context._showerlake_shipped = True
+
+
+def keeper(spark: SparkSession):
+    """A function that stores a table in the shared checkpoint folder and cuts its lineage.
+
+    Level-by-level walks call it once per level: each level is then computed once, and a lost executor
+    costs one level at most.
+    """
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="showerlake-"))
+    return lambda df: df.checkpoint(eager=True)

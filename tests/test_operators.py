@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from showerlake.functions import arrays as A
 from showerlake.functions import kinematics as K
-from showerlake.operators import clustering, filters, geometry, graph, joins, kernels, masses, pairs, ranking, sets, stats
-from showerlake.sources import hepmc
+from showerlake.operators import clustering, filters, geometry, graph, joins, kernels, masses, pairs, ranking, sets, stats, tags, trees
+from showerlake.sources import catalog, hepmc, text
 
 CHILDREN = [[], [2, 3], [5], [6, 5], [], [], [7, 8, 9], [], [], [], []]
 
@@ -211,3 +211,34 @@ def test_batches_carry_unfinished_groups(spark):
         assert {r["event_id"]: r["n"] for r in out.collect()} == {g: g + 1 for g in range(7)}
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_tag_groups_and_chains(spark, family):
+    leaves = spark.createDataFrame([(1, t, leaf) for t, ls in {2: [5], 3: [5, 8, 9], 4: [4], 10: []}.items() for leaf in ls], "event_id long, tag long, leaf long")
+    assert sorted(tuple(r) for r in tags.tag_groups(leaves).collect()) == [(1, 2, 2), (1, 2, 3), (1, 4, 4)]
+    found = tags.tag_particles(family[1], family[0], F.col("kind") == 5, F.col("kind") == 4, lambda df: df.cache())
+    assert {r["node"] for r in found.collect()} == {2}
+
+
+def test_tree_leaf_sets_and_joins(spark):
+    rows = inputs_of([(1, 0, 1, 0, 0), (1, 1, 2, 0, 0.1), (1, 2, 4, 0, 0.3)])
+    built = clustering.generalised_kt(spark.createDataFrame(rows, SCHEMA), 1.0, 0.0)
+    sets_ = {}
+    for r in trees.leaf_sets(built, lambda df: df.cache()).collect():
+        sets_.setdefault(r["pj_idx"], set()).add(r["leaf"])
+    assert sets_ == {0: {0}, 1: {1}, 2: {2}, 3: {0, 1}, 4: {0, 1, 2}}
+    first = trees.joins_walked(built).where("pj_idx = 3").first()
+    assert (first["left"], first["right"]) == (1, 0) and first["d_phi"] == pytest.approx(0.1)
+
+
+def test_settings_names_and_text(spark):
+    assert catalog.new_jet_name("Cone", ["ConeJet1", "ConeJet3"]) == "ConeJet2"
+    assert catalog.jet_names(["AJet1_InputIdx", "AJet1_PT", "B_InputIdx"]) == ["AJet1"]
+    for bad in ({"delta_r": "x"}, {"other": 1}, {"kind": "none"}):
+        with pytest.raises(ValueError):
+            catalog.check_settings("GeneralisedKT", bad)
+    df = spark.createDataFrame([(1, 2)], "A_x int, B_y int")
+    assert catalog.rename_prefix(df, "A_", "C_").columns == ["C_x", "B_y"] and catalog.remove_prefix(df, "A_").columns == ["B_y"]
+    assert catalog.append(df, [], new=F.lit(1)).columns == ["A_x", "B_y", "New"]
+    lines = spark.createDataFrame([('<particle id="5" name="b" antiName="bbar" spinType="2" chargeType="-1">',)], "line string")
+    assert sorted(tuple(r) for r in text.particle_table(lines).collect()) == [(-5, "bbar", 1 / 3, 0.5), (5, "b", -1 / 3, 0.5)]
