@@ -1,10 +1,11 @@
 """Exact deduplication over an extendible-hash index kept in shared files. DataFrame operations only.
 
 An index entry is (key, size, digest) of a normalised text with its row count and largest id. The
-directory starts with one slot and doubles while a bucket overflows: a bucket is the shortest prefix of
-the key's bits whose entries fit its capacity. Entries are written to the shared folder dealt out by
-bucket, so an owner task holds whole ranges of keys. Entries of one key form a chain; those that stand
-for several rows are confirmed by their bytes before their rows are merged.
+directory starts with about a slot per bucket of evenly spread keys and doubles while one overflows: a
+bucket is the shortest prefix of the key's bits, from that depth on, whose entries fit its capacity.
+Entries are written to the shared folder dealt out by bucket, so an owner task holds whole ranges of
+keys. Entries of one key form a chain; those that stand for several rows are confirmed by their bytes
+before their rows are merged.
 """
 
 from __future__ import annotations
@@ -14,25 +15,30 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ascii_lower, table, without
 
-#: Entries that a bucket holds before it splits, and the deepest directory (2**DEPTH slots).
-CAPACITY = 4096
-DEPTH = 20
+#: Entries that a bucket holds before it splits, doublings beyond the first directory, and the deepest one (2**DEEPEST slots).
+CAPACITY, DOUBLINGS, DEEPEST = 4096, 8, 40
 
 
 def _prefix(key, bits: int):
     """The leading bits of a key, marked by a leading one so that prefixes of all lengths differ."""
-    return F.lit(1 << bits) + (F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0))
+    return F.lit(1 << bits).cast("long") + (F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0))
 
 
-def directory(entries: DataFrame, capacity: int = CAPACITY, depth: int = DEPTH) -> DataFrame:
-    """(slot, bucket, local_depth): the bucket of each occupied slot of the full directory.
+def first_depth(rows: int, capacity: int = CAPACITY) -> int:
+    """Depth of the directory before any split: its slots would hold about a bucket each of evenly spread keys."""
+    return min(DEEPEST - DOUBLINGS, max(0, (rows // capacity).bit_length() - 1))
 
-    Counts of the 2**depth finest slots are summed map-side; each level of doubling is a sum of pairs of
-    sibling slots. A bucket stops splitting at the first depth at which its entries fit; at the deepest
-    level a bucket may hold more and simply stays larger.
+
+def directory(entries: DataFrame, start: int, capacity: int = CAPACITY, doublings: int = DOUBLINGS) -> DataFrame:
+    """(slot, bucket, local_depth): the bucket of each occupied slot of the full directory of start + doublings bits.
+
+    Counts of the finest slots are summed map-side; each level of doubling is a sum of pairs of sibling
+    slots. A bucket stops splitting at the first depth from `start` on at which its entries fit; at the
+    deepest level a bucket may hold more and simply stays larger.
     """
+    depth = start + doublings
     fine = entries.groupBy(_prefix(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
-    spread = fine.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(depth))).alias("d")).withColumn("bucket", F.expr(f"shiftright(slot, {depth} - d)"))
+    spread = fine.select("slot", "n", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("d")).withColumn("bucket", F.expr(f"shiftright(slot, {depth} - d)"))
     totals = spread.groupBy("d", "bucket").agg(F.sum("n").alias("total")).filter((F.col("total") <= capacity) | (F.col("d") == depth))
     shortest = spread.join(totals, ["d", "bucket"]).groupBy("slot").agg(F.min(F.struct("d", "bucket")).alias("b"))
     return shortest.select("slot", F.col("b.bucket").alias("bucket"), F.col("b.d").alias("local_depth"))
@@ -50,8 +56,8 @@ def build_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame
     """(rows, index): the compact row table, and the entries in shared files dealt out by bucket."""
     rows = scratch.keep(index_rows(docs))
     entries = rows.groupBy("key", "size", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    slots = directory(entries)
-    placed = entries.join(slots, _prefix(F.col("key"), DEPTH) == F.col("slot")).select("bucket", "key", "size", "digest", "keep_id", "group_size")
+    start = first_depth(rows.count())
+    placed = entries.join(directory(entries, start), _prefix(F.col("key"), start + DOUBLINGS) == F.col("slot")).select("bucket", "key", "size", "digest", "keep_id", "group_size")
     return rows, scratch.keep(placed.repartition("bucket").sortWithinPartitions("bucket", "key"))
 
 

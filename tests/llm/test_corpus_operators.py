@@ -299,7 +299,7 @@ def test_exact_groups(spark, docs, empty):
 
 def test_directory_doubles_until_buckets_fit(spark):
     entries = spark.range(3000).selectExpr("xxhash64(id) as key")
-    got = op10_exact.directory(entries, capacity=100, depth=8).collect()
+    got = op10_exact.directory(entries, 2, capacity=100, doublings=6).collect()
     sizes = {}
     for r in entries.collect():
         slot = (1 << 8) + ((r["key"] & (2**64 - 1)) >> 56)
