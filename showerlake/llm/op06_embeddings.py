@@ -16,13 +16,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from .common import Scratch, table, unit_hash
 from .components import Forest, connected_components
 
 COSINE = 0.9
-#: Vectors that train the quantiser (in expectation, chosen by hash), vectors per list and bounds of the list count.
-SAMPLE, PER_LIST, LEAST_LISTS, MOST_LISTS = 12_000, 256, 8, 4096
+#: Vectors that train the quantiser (in expectation, chosen by hash): so many, or so many per list if that is more.
+SAMPLE, SAMPLE_PER_LIST = 12_000, 8
+#: Vectors per list, and bounds of the list count.
+PER_LIST, LEAST_LISTS, MOST_LISTS = 256, 8, 4096
 #: Lists a query looks into, at least; subspaces and codewords of each.
 PROBES, SUBSPACES, CODEWORDS = 16, 8, 256
 #: Rows of a cell: stored vectors and queries.
@@ -56,10 +59,12 @@ class Quantiser:
 
     def near(self, x: np.ndarray, n: int) -> np.ndarray:
         """The n nearest lists of each row, nearest first."""
-        n = min(n, len(self.coarse))
-        sims = x @ self.coarse.T
-        top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
-        return np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1)
+        n, out = min(n, len(self.coarse)), []
+        for at in range(0, len(x), 1024):
+            sims = x[at : at + 1024] @ self.coarse.T
+            top = np.argpartition(-sims, n - 1, axis=1)[:, :n]
+            out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1))
+        return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subspace codes of the residuals, and the norm of what the codes miss."""
@@ -79,9 +84,16 @@ class Quantiser:
         return out
 
 
-def _matrix(blobs: list[bytes], dtype=np.float64) -> np.ndarray:
-    raw = np.frombuffer(b"".join(blobs), "<f8").reshape(len(blobs), -1) if blobs else np.zeros((0, 0))
-    return raw.astype(dtype, copy=False)
+def _matrix(blobs: list[bytes], kind: str) -> np.ndarray:
+    """Vectors in double precision from their stored form, `<f4` or `<f8`."""
+    raw = np.frombuffer(b"".join(blobs), kind).reshape(len(blobs), -1) if blobs else np.zeros((0, 0))
+    return raw.astype(np.float64, copy=False)
+
+
+def stored_kind(vectors: DataFrame) -> str:
+    """Single precision where the column has no more, so nothing is lost and half the bytes travel."""
+    element = vectors.schema["embedding"].dataType.elementType
+    return "<f4" if isinstance(element, FloatType) else "<f8"
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -97,22 +109,28 @@ def usable(vectors: DataFrame) -> DataFrame:
     return vectors.select("vec_id", v.alias("v")).filter(F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda c: c != 0))
 
 
-def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        blobs = [np.asarray(v.values).astype("<f8").tobytes() for v in batch.column(1)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["rep", "blob", "n"])
+def pack(classes: DataFrame, kind: str) -> DataFrame:
+    """(rep, blob, n) from (rep, v, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            blobs = [np.asarray(v.values).astype(kind).tobytes() for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["rep", "blob", "n"])
+
+    return classes.mapInArrow(run, "rep long, blob binary, n long")
 
 
-def train(classes: DataFrame, count: int, sample: int = SAMPLE) -> Quantiser | None:
-    """Quantiser of about `sample` vectors; None for an empty table."""
-    share = min(1.0, sample / max(1, count))
+def train(classes: DataFrame, count: int, kind: str, sample: int = SAMPLE) -> Quantiser | None:
+    """Quantiser of about `sample` vectors, more for many lists; None for an empty table."""
+    lists = int(min(MOST_LISTS, max(LEAST_LISTS, -(-count // PER_LIST))))
+    share = min(1.0, max(sample, SAMPLE_PER_LIST * lists) / max(1, count))
     rows = sorted((r["rep"], bytes(r["blob"])) for r in classes.filter(unit_hash(6, F.col("rep")) < share).select("rep", "blob").collect())
     if not rows:
         return None
-    return Quantiser(_unit(_matrix([r[1] for r in rows])), int(min(MOST_LISTS, max(LEAST_LISTS, -(-count // PER_LIST)))))
+    return Quantiser(_unit(_matrix([r[1] for r in rows], kind)), lists)
 
 
-def near_links(classes: DataFrame, quantiser: Quantiser, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+def near_links(classes: DataFrame, quantiser: Quantiser, kind: str, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(counts, edges) of the links between distinct vectors.
 
     counts: rep and how many rows (not classes) link to it; edges: spanning links. A pair is seen in the
@@ -122,7 +140,7 @@ def near_links(classes: DataFrame, quantiser: Quantiser, scratch: Scratch) -> tu
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _unit(_matrix(batch.column(1).to_pylist()))
+            x = _unit(_matrix(batch.column(1).to_pylist(), kind))
             if not len(x):
                 continue
             probes = quantiser.near(x, PROBES).astype(np.int32)
@@ -140,14 +158,16 @@ def near_links(classes: DataFrame, quantiser: Quantiser, scratch: Scratch) -> tu
     sizes = F.broadcast(stored_n.join(asked_n, "list").select("list", F.ceil(F.col("s") / CELL_STORED).alias("gs"), F.ceil(F.col("q") / CELL_QUERIES).alias("gq")))
     cast = ["rep", "blob", "n", "probes", "code", "error"]
     stored = placed.withColumn("list", home).join(sizes, "list").select("list", *cast, F.lit(True).alias("is_stored"), F.pmod(F.xxhash64(F.lit(1), "rep"), F.col("gs")).alias("cs"), F.explode(F.sequence(F.lit(0), F.col("gq") - 1)).alias("cq"))
-    asked = placed.withColumn("list", F.explode("probes")).join(sizes, "list").select("list", *cast, F.lit(False).alias("is_stored"), F.explode(F.sequence(F.lit(0), F.col("gs") - 1)).alias("cs"), F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("gq")).alias("cq"))
+    # a query needs its home list only, and neither codes nor their error
+    slim = ["rep", "blob", "n", F.slice("probes", 1, 1).alias("probes"), F.lit(None).cast("binary").alias("code"), F.lit(0.0).alias("error")]
+    asked = placed.withColumn("list", F.explode("probes")).join(sizes, "list").select("list", *slim, F.lit(False).alias("is_stored"), F.explode(F.sequence(F.lit(0), F.col("gs") - 1)).alias("cs"), F.pmod(F.xxhash64(F.lit(2), "rep"), F.col("gq")).alias("cq"))
 
     def cell(rows: pa.Table) -> pa.Table:
         mark = np.asarray(rows["is_stored"])
         sides = []
         for want in (False, True):
             side = rows.filter(pa.array(mark == want))
-            sides.append((np.asarray(side["rep"]), _unit(_matrix(side["blob"].to_pylist())), np.asarray(side["n"]), side["probes"].to_pylist(), side["code"].to_pylist(), np.asarray(side["error"])))
+            sides.append((np.asarray(side["rep"]), _unit(_matrix(side["blob"].to_pylist(), kind)), np.asarray(side["n"]), side["probes"].to_pylist(), side["code"].to_pylist(), np.asarray(side["error"])))
         (q_id, q, q_n, q_probes, _, _), (s_id, s, s_n, s_probes, s_code, s_error) = sides
         a, b, n = [], [], []
         if len(q_id) and len(s_id):
@@ -196,14 +216,14 @@ def near_duplicates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
     rows. Repeated rows count as rows; an empty table gives an empty result; other columns are not
     read. Vectors must have one dimension.
     """
-    good = usable(vectors)
+    good, kind = usable(vectors), stored_kind(vectors)
     grouped = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.keep(grouped.select("rep", "v", "n").mapInArrow(_pack, "rep long, blob binary, n long"))
+    classes = scratch.keep(pack(grouped.select("rep", "v", "n"), kind))
     members = scratch.keep(good.join(grouped.withColumnRenamed("v", "cv"), F.col("v") == F.col("cv")).select("vec_id", "rep", "n"))
-    quantiser = train(classes, classes.count())
+    quantiser = train(classes, classes.count(), kind)
     if quantiser is None:
         return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    counts, edges = near_links(classes, quantiser, scratch)
+    counts, edges = near_links(classes, quantiser, kind, scratch)
     comps = connected_components(edges, scratch)
     named = classes.select("rep").join(counts, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("r"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("comp"))
     linked = members.join(named, F.col("rep") == F.col("r")).select(F.col("vec_id").alias("m"), (F.col("links") + F.col("n") - 1).alias("links"), "comp").distinct()
