@@ -116,3 +116,18 @@ def filter_jets(trees: DataFrame, lead: float, other: float, min_tracks: int) ->
     n = trees.where("input_idx >= 0").groupBy("event_id", "jet").agg(F.count("*").alias("n_tracks"))
     roots = trees.where("parent = -1").select("event_id", "jet", "pt", "rapidity", "phi", "energy", "px", "py", "pz")
     return jet_cut(roots.join(n, ["event_id", "jet"]), lead, other, min_tracks)
+
+
+def embeddings(inputs: DataFrame, dimensions: int = 3, **settings) -> DataFrame:
+    """(event_id, input_idx, dimension, eigenvalue, coordinate) of the Laplacian embedding of events with three inputs or more."""
+
+    def kernel(e: dict) -> dict:
+        n = len(e["pt"])
+        if n < 3:
+            none = np.zeros(0)
+            return {"event_id": none.astype(np.int64), "input_idx": none.astype(np.int32), "dimension": none.astype(np.int32), "eigenvalue": none, "coordinate": none}
+        values, x = kernels.embedding(e, dimensions, **settings)
+        k = len(values)
+        return {"event_id": np.full(n * k, e["event_id"][0]), "input_idx": np.repeat(e["input_idx"], k), "dimension": np.tile(np.arange(k), n), "eigenvalue": np.tile(values, n), "coordinate": x.ravel()}
+
+    return per_group(inputs, ["event_id"], ["input_idx"], [*kernels.COLUMNS, "input_idx"], kernel, "event_id long, input_idx int, dimension int, eigenvalue double, coordinate double")

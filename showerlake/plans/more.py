@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import clustering, graph, masses, pairs, tags, trees
-from ..session import keeper
+from ..operators import clustering, graph, masses, pairs, stats, tags, trees, truth
+from ..session import keeper, shared_folder
 from ..sources import catalog, text
 from ..sources.particles import PARTICLES_SQL as P
 from ..sources.particles import ang_sql, particles, table
@@ -220,3 +222,49 @@ def s_particle_table(spark, d):
     anti = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(' antiName="'), "p_name", F.lit('bar"'))).otherwise("")
     line = F.concat(F.lit('<particle id="'), "p_partkey", F.lit('" name="'), "p_name", F.lit('"'), anti, F.lit(' spinType="2" chargeType="'), "p_size", F.lit('">'))
     return text.particle_table(table(spark, d, "part").select(line.alias("line"))).select("id", "name", "charge")
+
+
+@query("c_embedding")
+def c_embedding(spark, d):
+    return clustering.embeddings(inputs(spark, d), 2)
+
+
+@query("c_ideal_jets", f"""WITH {INPUTS_SQL}, s AS (SELECT i.event_id, i.input_idx, k.shower, p.px AS rx, p.py AS ry, p.rap AS rr, i.px, i.py, i.rapidity FROM inputs i JOIN (VALUES (0), (1)) k(shower) ON true JOIN particles p ON p.event_id = i.event_id AND p.idx = k.shower),
+c AS (SELECT *, (px * rx + py * ry + rapidity * rr) / (sqrt(px * px + py * py + rapidity * rapidity) * sqrt(rx * rx + ry * ry + rr * rr)) AS c FROM s)
+SELECT event_id, input_idx, shower FROM (SELECT *, row_number() OVER (PARTITION BY event_id, input_idx ORDER BY round(c, 9) DESC, shower) AS r FROM c) WHERE r = 1""")
+def c_ideal_jets(spark, d):
+    p, i = particles(spark, d), inputs(spark, d)
+    roots = p.where("idx < 2").select("event_id", F.col("idx").alias("shower"), F.col("px").alias("root_px"), F.col("py").alias("root_py"), F.col("rap").alias("root_rapidity"))
+    return truth.ideal_jets(i, i.select("event_id", "input_idx").join(roots, "event_id"))
+
+
+@query("j_hit_grid", f"WITH {P} SELECT event_id, track AS shower, tower AS jet, count(*) AS n FROM particles WHERE track >= 0 AND tower >= 0 GROUP BY ALL")
+def j_hit_grid(spark, d):
+    p = particles(spark, d).withColumnRenamed("idx", "input_idx")
+    return truth.hit_grid(p.where("track >= 0").select("event_id", "input_idx", F.col("track").alias("shower")), p.where("tower >= 0").select("event_id", "input_idx", F.col("tower").alias("jet")))
+
+
+@query("j_match_vertices")
+def j_match_vertices(spark, d):
+    p = particles(spark, d).select("event_id", "idx", F.col("phi").alias("x"), F.col("rap").alias("y"), F.col("m").alias("z"), "part")
+    return truth.match_points(p.where("part % 2 = 0"), p.where("part % 2 = 1"))
+
+
+@query("p_epps_singleton")
+def p_epps_singleton(spark, d):
+    e = table(spark, d, "events").select(F.col("event_type").alias("g"), "value", (F.col("user_id") % 2).alias("side"))
+    return stats.epps_singleton(e, "value", "side", ["g"])
+
+
+@query("b_random_scan")
+def b_random_scan(spark, d):
+    """Jets per event for random settings of the sequential merging."""
+    chosen = catalog.random_settings("GeneralisedKT", 3, 11, {"delta_r": (0.3, 1.2), "power": (-1.0, 1.0)})
+    return clustering.scan(inputs(spark, d), chosen).groupBy("setting", "event_id").agg(F.countDistinct("jet").alias("n_jets"))
+
+
+@query("s_partitioned_round_trip", f"WITH {P} SELECT mcpid, count(*) AS n, CAST(sum(pt) AS DOUBLE) AS pt FROM particles GROUP BY 1")
+def s_partitioned_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/dataset-{uuid.uuid4().hex}"
+    catalog.save(particles(spark, d).select("mcpid", "event_id", "idx", "pt").repartition("mcpid"), path, ["mcpid"])
+    return spark.read.parquet(path).groupBy("mcpid").agg(F.count("*").alias("n"), F.sum("pt").alias("pt"))

@@ -38,6 +38,15 @@ def ship(spark: SparkSession) -> None:
     context._showerlake_shipped = True
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder of the session; one is made only where none is set."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="showerlake-"))
+        found = spark.sparkContext.getCheckpointDir()
+    return found
+
+
 def keeper(spark: SparkSession):
     """A function that stores a table in the shared checkpoint folder and cuts its lineage.
 
@@ -45,5 +54,5 @@ def keeper(spark: SparkSession):
     costs one level at most.
     """
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="showerlake-"))
+        spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return lambda df: df.checkpoint(eager=True)

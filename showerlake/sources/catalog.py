@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import subprocess
 from itertools import product
 
@@ -114,3 +115,37 @@ def provenance(folder: str) -> dict[str, str]:
     except (OSError, subprocess.SubprocessError):
         return {}
     return dict(zip(["commit", "time", "message", "branch"], out, strict=False))
+
+
+def random_settings(name: str, n: int, seed: int, ranges: dict[str, tuple[float, float]]) -> list[dict]:
+    """n random settings of a class: choices from its domains, numbers from `ranges`; the same for the same seed."""
+    draw = random.Random(seed)
+    out = []
+    for _ in range(n):
+        one = {}
+        for key, domain in CLASSES[name].items():
+            if isinstance(domain, list):
+                one[key] = draw.choice(domain)
+            elif domain is bool:
+                one[key] = draw.random() < 0.5
+            elif key in ranges:
+                low, high = ranges[key]
+                one[key] = draw.randint(int(low), int(high)) if domain is int else draw.uniform(low, high)
+        out.append(check_settings(name, one))
+    return out
+
+
+def neighbour_settings(name: str, best: dict, step: float, ranges: dict[str, tuple[float, float]]) -> list[dict]:
+    """Settings one step away from the best so far: each number up and down, each choice replaced."""
+    out = []
+    for key, value in best.items():
+        domain = CLASSES[name][key]
+        if isinstance(domain, list):
+            out += [best | {key: other} for other in domain if other != value]
+        elif domain is bool:
+            out.append(best | {key: not value})
+        elif key in ranges:
+            low, high = ranges[key]
+            size = max(1, round(step * (high - low))) if domain is int else step * (high - low)
+            out += [best | {key: moved} for moved in (value - size, value + size) if low <= moved <= high]
+    return out

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import shared_folder
+
 SCHEMA = "event_id long, ts timestamp, user_id long, event_type string, value double, props string"
 
 
@@ -23,8 +24,7 @@ def windowed(stream: DataFrame, width: str = "1 hour", late: str = "10 minutes")
 
 def run_available(spark: SparkSession, sf_dir: str, width: str = "1 day") -> DataFrame:
     """Process all files that exist now and return the final windows."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="showerlake-stream-")
-    where = f"{base}/stream-{uuid.uuid4().hex}"
+    where = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     found = windowed(read(spark, f"{sf_dir}/events.parquet*"), width)
     flat = found.select(F.col("window.start").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from showerlake.functions import arrays as A
 from showerlake.functions import kinematics as K
-from showerlake.operators import clustering, filters, geometry, graph, joins, kernels, masses, pairs, ranking, sets, stats, tags, trees
+from showerlake.operators import clustering, filters, geometry, graph, joins, kernels, masses, pairs, ranking, sets, stats, tags, trees, truth
 from showerlake.sources import catalog, hepmc, text
 
 CHILDREN = [[], [2, 3], [5], [6, 5], [], [], [7, 8, 9], [], [], [], []]
@@ -242,3 +242,20 @@ def test_settings_names_and_text(spark):
     assert catalog.append(df, [], new=F.lit(1)).columns == ["A_x", "B_y", "New"]
     lines = spark.createDataFrame([('<particle id="5" name="b" antiName="bbar" spinType="2" chargeType="-1">',)], "line string")
     assert sorted(tuple(r) for r in text.particle_table(lines).collect()) == [(-5, "bbar", 1 / 3, 0.5), (5, "b", -1 / 3, 0.5)]
+
+
+def test_matching_points_and_random_settings(spark):
+    found = spark.createDataFrame([(1, 0, 0.0, 0.0, 0.0), (1, 1, 5.0, 0.0, 0.0)], "event_id long, idx long, x double, y double, z double")
+    true = spark.createDataFrame([(1, 7, 0.5, 0.0, 0.0), (2, 8, 1.0, 1.0, 1.0)], "event_id long, idx long, x double, y double, z double")
+    got = sorted((r["event_id"], r["found"], r["true"]) for r in truth.match_points(found, true).collect())
+    assert got == [(1, 0, 7), (1, 1, -1), (2, -1, 8)]
+    one = catalog.random_settings("GeneralisedKT", 4, 1, {"delta_r": (0.3, 1.2), "power": (-1, 1)})
+    assert one == catalog.random_settings("GeneralisedKT", 4, 1, {"delta_r": (0.3, 1.2), "power": (-1, 1)}) and len(one) == 4
+    assert all(0.3 <= n["delta_r"] <= 1.2 for n in catalog.neighbour_settings("GeneralisedKT", one[0], 0.1, {"delta_r": (0.3, 1.2)}))
+
+
+def test_epps_singleton_grows_with_the_difference(spark):
+    rng = np.random.default_rng(1)
+    rows = [(g, float(v), s) for g, shift in (("same", 0.0), ("apart", 1.0)) for s in (0, 1) for v in rng.normal(shift * s, 1, 300)]
+    got = {r["g"]: r["statistic"] for r in stats.epps_singleton(spark.createDataFrame(rows, "g string, v double, s int"), "v", "s", ["g"]).collect()}
+    assert got["same"] < 15 < 60 < got["apart"]
