@@ -30,6 +30,8 @@ APART_NAMES = set(
     "copyright sidebar aside rail widget widgets related recommended popular trending notice notices cookie cookies consent gdpr alert popup modal overlay newsletter subscribe signup login search share sharing social "
     "comment comments reply replies respond disqus discussion pagination pager skip toolbar legal disclaimer complementary contentinfo form".split()
 )
+#: First words of names that tell of a page's make-up, not of what the element holds.
+LAYOUT_NAMES = set("has with no without is js page layout wp single".split())
 MAIN_NAMES = set("article content main post story entry body text articlebody maincontent".split())
 
 _PIECE = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(?P<cdata>.*?)(?:\]\]>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", re.S)
@@ -58,6 +60,8 @@ def _marks(name: str, rest: str, in_main: bool) -> tuple[bool, bool, bool]:
             if key in ("class", "id", "role"):
                 for token in value.split():
                     words = _NAME_PART.findall(token)
+                    if words and words[0] in LAYOUT_NAMES:
+                        continue
                     if name not in ("html", "body", "article", "main") and not APART_NAMES.isdisjoint(words):
                         apart = True
                     elif token.replace("-", "").replace("_", "") in MAIN_NAMES:

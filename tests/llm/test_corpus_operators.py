@@ -124,6 +124,8 @@ def test_html_blocks():
     assert op02_html.main_text(page) == "Head & line\nFirst para with a link and é!\nShort. Next\nLast one"
     plain = "<div class=menu><ul><li><a>One</a><li><a>Two</a></ul></div><h2>A title of the story</h2><p>" + "word " * 60 + "</p><p>" + "more " * 40 + "</p>"
     assert op02_html.main_text(plain) == "A title of the story\n" + ("word " * 60).strip() + "\n" + ("more " * 40).strip()
+    wrapped = "<div class='layout has-sidebar'><main><p>Kept text of some length</p></main><div class='side sidebar'>Links</div></div>"
+    assert op02_html.main_text(wrapped) == "Kept text of some length"
     assert [op02_html.main_text(x) for x in (None, "", "   ", "<p>", "<script>alert(1)")] == [""] * 5
     assert op02_html.main_text("<article><p>" + "x " * 200_000) == ("x " * 200_000).strip()
 
