@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, without
+from .common import Scratch, release_memory, table, without
 from .components import Forest, connected_components
 
 RADIUS = 3
@@ -54,9 +54,9 @@ def fingerprint(data: bytes, width: int = SHINGLE) -> int:
 
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        texts = batch.column(1)
-        prints = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in texts]
+        prints = [fingerprint(t.as_buffer().to_pybytes()) if t.is_valid else 0 for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(prints, pa.int64())], ["doc_id", "fp"])
+    release_memory()
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

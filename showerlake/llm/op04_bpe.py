@@ -14,18 +14,23 @@ from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release_memory, table
 from .lanes import WIDEST, Lanes
 from .pretokens import VOCABULARY, Words, ranks
 
-#: Words remembered by a worker before it starts afresh, and characters of text whose new words are learned together.
-CACHE = 300_000
-GATHER = 4_000_000
+#: Words remembered by a task before it starts afresh, characters of text whose new words are learned together,
+#: and pre-tokens that share a pass of lanes.
+CACHE = 200_000
+GATHER = 2_000_000
+SHARE = 32_768
+#: Ids of an output batch.
+FLUSH = 1_000_000
 
 
 class Vocabulary:
@@ -186,8 +191,10 @@ class Encoder(Words):
                 short.append((piece, data))
             else:
                 ids[piece] = tuple(PrefixTable(self.vocabulary, data).tokens())
-        if short:
-            ids.update(zip([p for p, _ in short], self.lanes.encode([d for _, d in short]), strict=True))
+        short.sort(key=lambda pair: len(pair[1]))  # lanes of about equal length, so that no pass is wider than it must be
+        for at in range(0, len(short), SHARE):
+            part = short[at : at + SHARE]
+            ids.update(zip([p for p, _ in part], self.lanes.encode([d for _, d in part]), strict=True))
         self.seen.update((w, ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, found)))) for w, found in zip(words, parts, strict=True))
 
     def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
@@ -217,25 +224,32 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
 
+    def made(doc_ids: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        if digests:
+            columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))]
+        else:
+            columns = [pa.array([r[0] for r in rows], pa.list_(pa.int32())), pa.array([r[1] for r in rows], pa.binary())]
+        return pa.RecordBatch.from_arrays([doc_ids, *columns], [part.split()[0] for part in schema.split(", ")])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gc.disable()  # no cycles here, and walking the remembered words over and over is dear
         e = encoder(path)
         names = list(map(str, range(len(e.vocabulary.bytes_of))))
         for batch in batches:
-            ids_col, decoded_col, n_col = [], [], []
+            rows, room, at = [], FLUSH, 0
             for ids in e.encode_batch([t or "" for t in batch.column(1).to_pylist()]):
                 decoded = e.decode(ids)
                 if digests:
-                    n_col.append(len(ids))
-                    ids_col.append(hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    decoded_col.append(hashlib.sha256(decoded).hexdigest())
+                    rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                 else:
-                    ids_col.append(ids)
-                    decoded_col.append(decoded)
-            if digests:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_col, pa.int64()), pa.array(ids_col, pa.string()), pa.array(decoded_col, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-            else:
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids_col, pa.list_(pa.int32())), pa.array(decoded_col, pa.binary())], ["doc_id", "ids", "decoded"])
+                    rows.append((np.array(ids, np.int32), decoded))
+                room -= len(ids)
+                if room < 0:
+                    yield made(batch.column(0).slice(at, len(rows)), rows)
+                    rows, room, at = [], FLUSH, at + len(rows)
+            yield made(batch.column(0).slice(at, len(rows)), rows)
+        e.seen.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 

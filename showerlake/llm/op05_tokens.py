@@ -19,11 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import release_memory, table
 from .pretokens import VOCABULARY, Words, ranks
 
-#: Words remembered by a worker before it starts afresh, characters of text whose new words share a trie, Zipf offset.
-CACHE, GATHER, OFFSET = 300_000, 4_000_000, 256.0
+#: Words remembered by a task before it starts afresh, characters of text whose new words share a trie, Zipf offset.
+CACHE, GATHER, OFFSET = 200_000, 2_000_000, 256.0
 
 
 class TrieCounter:
@@ -110,6 +110,8 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             rows = list(c.count_batch([t or "" for t in batch.column(1).to_pylist()]))
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pretokens", "n_tokens", "log_prob"])
+        c.seen.clear()
+        release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, log_prob double")
 
