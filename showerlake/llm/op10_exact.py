@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, table, without
+from .common import MOST_BROADCAST, Scratch, ascii_lower, table, without
 
 #: Entries that a bucket holds before it splits, doublings beyond the first directory, and the deepest one (2**DEEPEST slots).
 CAPACITY, DOUBLINGS, DEEPEST = 4096, 8, 40
@@ -68,7 +68,10 @@ def confirm(docs: DataFrame, index: DataFrame) -> DataFrame:
     group of copies of any size collapses before the shuffle.
     """
     text = ascii_lower(F.col("text"))
-    shared = index.filter("group_size > 1").select("key").distinct().withColumnRenamed("key", "k")
+    several = index.filter("group_size > 1")
+    shared = several.select("key").distinct().withColumnRenamed("key", "k")
+    if several.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+        shared = F.broadcast(shared)  # else the texts themselves would travel to meet a few keys
     back = docs.select(text.alias("norm")).withColumn("key", F.xxhash64("norm")).join(shared, F.col("key") == F.col("k"), "left_semi")
     chains = back.groupBy("key", "norm").agg(F.count("*").alias("n"))
     return chains.groupBy("key", F.octet_length("norm").alias("size"), F.unhex(F.sha2(F.col("norm"), 256)).alias("digest")).agg(F.count("*").alias("distinct"), F.sum("n").alias("confirmed"))
