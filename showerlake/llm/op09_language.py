@@ -2,7 +2,9 @@
 
 Linear support vector machines over hashed letter trigrams of the whole text. One machine per family
 against the others picks the family; within it every two languages have a machine of their own and
-vote, so closely related languages are separated by what tells just those two apart.
+vote, so closely related languages are separated by what tells just those two apart. How well the
+trigrams of the text fit the language found, against texts of the other training fold, scales the score:
+machines only tell languages from each other, and say nothing about a text that is in none of them.
 """
 
 from __future__ import annotations
@@ -30,6 +32,9 @@ FAMILIES = {
 BITS, PER_LANGUAGE, COST, ROUNDS = 12, 600, 4.0, 60
 #: A prediction below this score is rejected by the pipeline stage.
 LEAST_SCORE = 0.05
+#: Robust standard deviations below its language's usual fit at which the fit alone takes a text to LEAST_SCORE,
+#: or as many as this share of the training texts exceeds where that is farther.
+FAR, FARTHEST = 6.0, 0.005
 
 _LETTER = re.compile(r"[^\W\d_]").search
 _KEEP = np.full(256, 32, np.uint32)
@@ -62,16 +67,48 @@ def svm(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
+class Fit:
+    """Mean log-likelihood of a text's trigrams in one language, as deviations from that of its training texts.
+
+    Two folds: each is scored by the other's trigrams. The spread is that between long texts, and that
+    between short ones, which falls with the root of the length.
+    """
+
+    def __init__(self, x: np.ndarray, sizes: np.ndarray):
+        share = x.astype(np.float64) ** 2
+        fold = np.arange(len(x)) % 2
+        value = np.array([share[i] @ w for k in (0, 1) for w in [self._logs(share[fold != k], sizes[fold != k])] for i in np.flatnonzero(fold == k)])
+        size = np.concatenate([sizes[fold == k] for k in (0, 1)])
+        self.logs = self._logs(share, sizes)
+        long = size >= np.median(size)
+        self.usual = float(np.median(value[long]))
+        off = np.abs(value - self.usual)
+        self.between = max(1.4826 * float(np.median(off[long])), 0.02)
+        self.within = 1.4826 * float(np.median((off * np.sqrt(size))[size <= np.median(size)]))
+        off = (value - self.usual) / np.sqrt(self.between**2 + self.within**2 / np.maximum(size, 1))
+        self.limit = min(-FAR, float(np.quantile(off, FARTHEST)))
+
+    @staticmethod
+    def _logs(share: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        mass = (share * sizes[:, None]).sum(0) + 0.5
+        return np.log(mass / mass.sum())
+
+    def deviations(self, v: np.ndarray, size: int) -> float:
+        return (float((v.astype(np.float64) ** 2) @ self.logs) - self.usual) / sqrt(self.between**2 + self.within**2 / max(size, 1))
+
+
 class LanguageModel:
     """Families, their machines, and one machine for each two languages of a family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, x: np.ndarray, langs: list[str], sizes: list[int]):
         names = sorted(set(langs))
         home = {code: family for family, codes in FAMILIES.items() for code in codes}
         lang = np.array(langs, dtype=object)
         fam = np.array([home.get(n, n) for n in langs], dtype=object)
         self.families = sorted(set(fam.tolist()))
         self.members = {f: [n for n in names if home.get(n, n) == f] for f in self.families}
+        size = np.array(sizes, np.float64)
+        self.fits = {n: Fit(x[lang == n], size[lang == n]) for n in names if (lang == n).sum() > 1}
         sign = lambda hit: np.where(hit, 1.0, -1.0)
         if len(self.families) == 2:
             first = svm(x, sign(fam == self.families[0]))
@@ -104,7 +141,14 @@ class LanguageModel:
                 wins[n] += (q > 0.5) + 1e-3 * q
                 sure[n] = min(sure[n], q)
         lang = max(found, key=lambda n: (wins[n], n))
-        return lang, float(score) * sure[lang]
+        return lang, float(score) * sure[lang] * self.fit(lang, v, len(text))
+
+    def fit(self, lang: str, v: np.ndarray, size: int) -> float:
+        """Near one for texts like those of the language, LEAST_SCORE at the limit of their deviations."""
+        if lang not in self.fits:
+            return 1.0
+        beyond = self.fits[lang].limit - self.fits[lang].deviations(v, size)
+        return float(1 / (1 + (1 / LEAST_SCORE - 1) * np.exp(np.clip(3 * beyond, -50, 50))))
 
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
@@ -117,13 +161,13 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, features(t).astype(np.float16).tobytes(), g) for i, t, g in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) if _LETTER(t)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string())], ["doc_id", "v", "lang"])
+            rows = [(i, features(t).astype(np.float16).tobytes(), g, len(t)) for i, t, g in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) if _LETTER(t)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "v", "lang", "size"])
 
     chosen = usable.filter(unit_hash(9, F.col("doc_id")) < share).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
-    rows = sorted((r["doc_id"], r["lang"], bytes(r["v"])) for r in chosen.mapInArrow(run, "doc_id long, v binary, lang string").collect())
+    rows = sorted((r["doc_id"], r["lang"], bytes(r["v"]), r["size"]) for r in chosen.mapInArrow(run, "doc_id long, v binary, lang string, size long").collect())
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(-1, 1 << BITS).astype(np.float32)
-    return LanguageModel(x, [r[1] for r in rows])
+    return LanguageModel(x, [r[1] for r in rows], [r[3] for r in rows])
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
