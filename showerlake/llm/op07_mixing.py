@@ -7,6 +7,8 @@ document is kept when the hash of its id falls below that of its cell.
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,7 @@ def rake(keys: list[np.ndarray], mass: np.ndarray, targets: list[dict], rounds:
     for (names, _), target in zip(found, targets, strict=True):
         t = np.array([max(0.0, target.get(n, 0.0)) for n in names.tolist()])
         wanted.append(t / t.sum() * total if t.sum() > 0 else None)
+    worst = 0.0
     for _ in range(rounds):
         worst = 0.0
         for (_, at), want in zip(found, wanted, strict=True):
@@ -66,29 +69,58 @@ def rake(keys: list[np.ndarray], mass: np.ndarray, targets: list[dict], rounds:
             w *= factor[at]
         if worst < TOLERANCE:
             break
+    _report(worst, rounds)
     return w
 
 
-def rake_tables(cells: DataFrame, targets: list[dict] | None, scratch: Scratch, rounds: int = 12) -> DataFrame:
+def rake_tables(cells: DataFrame, targets: list[dict] | None, scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
     """The same on tables, for more cells than the driver takes; lineage is cut each round."""
     spark = cells.sparkSession
     total = cells.agg(F.sum("mass")).first()[0] or 0.0
-    out = cells.withColumn("w", F.lit(1.0))
     wanted = []
     for i, m in enumerate(MARGINS):
         if targets is None:
             share = cells.groupBy(m).agg(F.sum("mass").alias("t")).withColumn("t", F.pow("t", F.lit(TEMPER)))
         else:
-            share = spark.createDataFrame(list(targets[i].items()), f"{m} string, t double").join(cells.select(m).distinct(), m)
-        sum_ = share.agg(F.sum("t")).first()[0] or 1.0
-        wanted.append(share.select(m, (F.col("t") * (total / sum_)).alias("want")))
+            given = [(k, max(0.0, float(v))) for k, v in targets[i].items()]
+            share = spark.createDataFrame(given, f"{m} string, t double").join(cells.select(m).distinct(), m)
+        sum_ = share.agg(F.sum("t")).first()[0] or 0.0
+        if sum_ > 0:
+            wanted.append((m, scratch.keep(share.select(m, (F.col("t") * (total / sum_)).alias("want")))))
+    out, worst = scratch.keep(cells.withColumn("w", F.lit(1.0))), 0.0
     for _ in range(rounds):
-        for m, want in zip(MARGINS, wanted, strict=True):
-            have = out.groupBy(m).agg(F.sum(F.col("w") * F.col("mass")).alias("have"))
+        after = out.withColumn("step", F.lit(0.0))
+        for m, want in wanted:
+            have = after.groupBy(m).agg(F.sum(F.col("w") * F.col("mass")).alias("have"))
             factor = have.join(want, m, "left").select(m, F.when(F.col("have") > 0, F.coalesce("want", F.lit(0.0)) / F.col("have")).otherwise(1.0).alias("f"))
-            out = out.join(factor, m).select(*MARGINS, "mass", (F.col("w") * F.col("f")).alias("w"))
-        out = scratch.keep(out)
-    return out
+            after = after.join(factor, m).select(*MARGINS, "mass", (F.col("w") * F.col("f")).alias("w"), F.greatest("step", F.abs(F.col("f") - 1)).alias("step"))
+        before, out = out, scratch.keep(after)
+        scratch.drop(before)
+        worst = out.agg(F.max("step")).first()[0] or 0.0
+        if worst < TOLERANCE:
+            break
+    _report(worst, rounds)
+    return out.drop("step")
+
+
+def _report(worst: float, rounds: int) -> None:
+    if worst >= TOLERANCE:
+        warnings.warn(f"mixing has not converged: a margin still moved by {worst:.2e} in round {rounds}", RuntimeWarning, stacklevel=3)
+
+
+def weight_below(raked: DataFrame, goal: float) -> float:
+    """The least weight up to which the cells hold `goal` of the mass; exact, each pass brings 1,001 rows at most."""
+    low, high = raked.agg(F.min("w"), F.max("w")).first()
+    below = 0.0
+    while low < high:
+        inside = raked.filter(F.col("w").between(low, high)).withColumn("bin", F.floor((F.col("w") - low) / (high - low) * 1000))
+        bins = inside.groupBy("bin").agg(F.sum("mass").alias("m"), F.min("w").alias("low"), F.max("w").alias("high")).orderBy("bin").collect()
+        for row in bins:
+            low, high = row["low"], row["high"]
+            if below + row["m"] >= goal:
+                break
+            below += row["m"]
+    return low
 
 
 def cell_probabilities(rows: DataFrame, scratch: Scratch, targets: list[dict] | None = None, most_cells: int = MOST_CELLS) -> tuple[DataFrame, bool]:
@@ -102,11 +134,9 @@ def cell_probabilities(rows: DataFrame, scratch: Scratch, targets: list[dict] |
     schema = "source string, lang string, topic string, weight double, prob double"
     if cells.limit(most_cells + 1).count() > most_cells:
         raked = rake_tables(cells, targets, scratch)
-        total = raked.agg(F.sum("mass")).first()[0]
-        top = raked.groupBy(F.round(F.log("w"), 3).alias("lw")).agg(F.sum("mass").alias("m")).orderBy("lw").collect()
-        edges, sums = np.array([r["lw"] or 0.0 for r in top]), np.cumsum([r["m"] for r in top])
-        factor = float(np.exp(-edges[min(len(edges) - 1, int(np.searchsorted(sums, UNCAPPED * total)))]))
-        return raked.select(*MARGINS, F.col("w").alias("weight"), F.least(F.lit(1.0), F.col("w") * factor).alias("prob")), False
+        limit = weight_below(raked, UNCAPPED * (raked.agg(F.sum("mass")).first()[0] or 0.0))
+        prob = F.least(F.lit(1.0), F.col("w") / limit) if limit > 0 else F.lit(1.0)
+        return raked.select(*MARGINS, F.col("w").alias("weight"), prob.alias("prob")), False
     found = sorted(tuple(r) for r in cells.collect())
     if not found:
         return spark.createDataFrame([], schema), True
