@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -116,3 +118,22 @@ def epps_singleton(rows: DataFrame, value: str, side: str, by: list[str], points
 
     kinds = ", ".join(f"{name} {kind}" for name, kind in sums.select(*by).dtypes)
     return sums.mapInPandas(solve, f"{kinds}, statistic double")
+
+
+def subsample_normalised(rows: DataFrame, value: str, side: str, order: list[str], by: list[str], distance: Callable[..., DataFrame], subsamples: int = 3) -> DataFrame:
+    """(by, dissimilarity): 2 n d(side 0, side 1) over the sum of d(prefix, suffix) at the n - 2 inner split points of each side.
+
+    `distance` is one of the two-sample functions above. n is `subsamples`, or a fifth of the smaller side
+    where that is less; without a split point or with splits that do not differ there is no value (null).
+    """
+    w = Window.partitionBy(*by, side)
+    placed = rows.where(F.col(value).isNotNull()).select(*by, side, value, (F.row_number().over(w.orderBy(*order)) - 1).alias("__at"), F.count("*").over(w).alias("__n"))
+    sizes = placed.groupBy(*by).agg(F.count(F.when(F.col(side) == 0, 1)).alias("a"), F.count(F.when(F.col(side) == 1, 1)).alias("b"))
+    sizes = sizes.select(*by, F.least(F.floor(F.col("a") / 5), F.floor(F.col("b") / 5), F.lit(subsamples)).cast("int").alias("__k"))
+    split = placed.join(sizes, by).where("__k > 2").withColumn("__split", F.explode(F.sequence(F.lit(1), F.col("__k") - 2)))
+    half = F.when(F.col("__at") < F.floor(F.col("__split") * F.col("__n") / (F.col("__k") - 1)), 0).otherwise(1)
+    inner = distance(split.select(*by, F.col(side).alias("__own"), "__split", value, half.alias("__half")), value, "__half", [*by, "__own", "__split"])
+    sums = inner.groupBy(*by).agg(F.sum(inner.columns[-1]).alias("__sum"))
+    whole = distance(placed.select(*by, side, value), value, side, by)
+    found = whole.withColumnRenamed(whole.columns[-1], "__d").join(sizes, by).join(sums, by, "left")
+    return found.select(*by, (2 * F.col("__k") * F.col("__d") / F.nullif("__sum", F.lit(0.0))).alias("dissimilarity"))

@@ -191,6 +191,15 @@ def p_subsample(spark, d):
     return m.select("g", r(F.abs(F.col("a") - F.col("b")) / F.col("c"), 5).alias("dissimilarity"))
 
 
+@query("p_subsample_distance")
+def p_subsample_distance(spark, d):
+    """Distances between the halves of the users, in units of those within each half; rows in the order of their ids."""
+    e = table(spark, d, "events").select(F.col("event_type").alias("g"), "value", "event_id", (F.col("user_id") % 2).alias("side"))
+    kinds = {"ks": stats.kolmogorov_smirnov, "js": stats.jensen_shannon, "es": stats.epps_singleton}
+    parts = [stats.subsample_normalised(e, "value", "side", ["event_id"], ["g"], f).select("g", F.lit(k).alias("distance"), r("dissimilarity", 5).alias("dissimilarity")) for k, f in kinds.items()]
+    return parts[0].union(parts[1]).union(parts[2])
+
+
 @query("w_axis_scale", "SELECT c_nationkey AS label, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place FROM (SELECT DISTINCT c_nationkey FROM customer)")
 def w_axis_scale(spark, d):
     labels = table(spark, d, "customer").select(F.col("c_nationkey").alias("label")).distinct()
