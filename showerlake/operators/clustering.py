@@ -98,15 +98,15 @@ def scan(inputs: DataFrame, grid: list[dict], done: list[int] | None = None) ->
 
 def shapes(inputs: DataFrame) -> DataFrame:
     """Event shape variables of every event with at least two inputs."""
-    names = ["thrust", "sphericity", "aplanarity", "c", "d", "spherocity"]
+    names = kernels.SHAPES
 
     def kernel(e: dict) -> dict:
         if len(e["px"]) < 2:
             return {"event_id": np.zeros(0, np.int64)} | {n: np.zeros(0) for n in names}
-        found = kernels.event_shape(np.stack([e["px"], e["py"], e["pz"]], 1))
+        found = kernels.event_shape(np.stack([e["px"], e["py"], e["pz"]], 1), e["energy"])
         return {"event_id": e["event_id"][:1]} | {n: np.array([found[n]]) for n in names}
 
-    return per_group(inputs, ["event_id"], ["input_idx"], ["px", "py", "pz"], kernel, "event_id long, " + ", ".join(f"{n} double" for n in names))
+    return per_group(inputs, ["event_id"], ["input_idx"], ["energy", "px", "py", "pz"], kernel, "event_id long, " + ", ".join(f"{n} double" for n in names))
 
 
 def filter_jets(trees: DataFrame, lead: float, other: float, min_tracks: int) -> DataFrame:

@@ -246,18 +246,50 @@ def spectral_kmeans(e: dict, clusters: int = 2, restarts: int = 12, seed: int =
 KERNELS = {"iterative_cone": iterative_cone, "spectral": spectral, "indicator": indicator, "splitting": splitting, "spectral_kmeans": spectral_kmeans}
 
 
-def event_shape(p: np.ndarray) -> dict[str, float]:
-    """Thrust family by exact enumeration of hemispheres, and what follows from the momentum tensor; p is n x 3."""
+SHAPES = ["thrust", "sphericity", "aplanarity", "c", "d", "spherocity", "transverse_thrust", "major", "minor", "oblateness", "planarity", "acoplanarity", "light_mass2", "heavy_mass2", "difference_mass2"]
+
+
+def _transverse_axis(p: np.ndarray) -> np.ndarray:
+    """Unit vector in the plane along the largest sum of momenta that are each signed by the side of a line; p is n x 2."""
+    best = p.sum(0)
+    for i in np.flatnonzero(np.hypot(p[:, 0], p[:, 1]) > 0):
+        off, ahead = p[i, 0] * p[:, 1] - p[i, 1] * p[:, 0], np.sign(p @ p[i])
+        for turn in (1, -1):  # momenta along the line itself stand on either side of it
+            v = (np.where(off == 0, turn * ahead, np.sign(off))[:, None] * p).sum(0)
+            if np.hypot(*v) > np.hypot(*best) * (1 + 1e-12):
+                best = v
+    return best / (np.hypot(*best) or 1)
+
+
+def _major_axis(weights: np.ndarray, thrust: np.ndarray) -> np.ndarray:
+    """Unit vector at right angles to thrust with the largest sum of weights times its absolute components."""
+    best = np.zeros(3)
+    for signs in ((1, 1, 1), (1, 1, -1), (1, -1, 1), (1, -1, -1)):
+        v = weights * signs
+        v = v - (v @ thrust) * thrust
+        if v @ v > best @ best * (1 + 1e-12):
+            best = v
+    return best / (np.linalg.norm(best) or 1)
+
+
+def event_shape(p: np.ndarray, energy: np.ndarray | None = None) -> dict[str, float]:
+    """The SHAPES: thrust by exact enumeration of hemispheres, the others from its axis and the momentum tensors; p is n x 3.
+
+    As in the reference, the major axis and acoplanarity weigh the sums of absolute components, and the
+    masses are sums of squares on either side of the transverse thrust axis. Without energies they are those
+    of massless particles.
+    """
     norm = np.linalg.norm(p, axis=1)
     total = norm.sum()
     if total == 0:
-        return dict.fromkeys(("thrust", "sphericity", "aplanarity", "c", "d", "spherocity"), 0.0)
+        return dict.fromkeys(SHAPES, 0.0)
     tensor = p.T @ p / (norm**2).sum()
     l1, l2, l3 = np.sort(np.linalg.eigvalsh(tensor))[::-1]
     linear = (p[:, :, None] * p[:, None, :] / np.maximum(norm, 1e-300)[:, None, None]).sum(0) / total
     m1, m2, m3 = np.sort(np.linalg.eigvalsh(linear))[::-1]
     # the best axis separates two momenta's planes: take the sum of signed momenta for each such plane
     best = max(norm.max(), float(np.linalg.norm(p.sum(0))))
+    axis = p[norm.argmax()] if best == norm.max() else p.sum(0)
     for i in range(len(p)):
         for j in range(i + 1, len(p)):
             side = p @ np.cross(p[i], p[j]) > 0
@@ -265,10 +297,19 @@ def event_shape(p: np.ndarray) -> dict[str, float]:
                 for sj in (1, -1):
                     s = np.where(side, 1.0, -1.0)
                     s[i], s[j] = si, sj
-                    best = max(best, float(np.linalg.norm((s[:, None] * p).sum(0))))
+                    v = (s[:, None] * p).sum(0)
+                    if (size := float(np.linalg.norm(v))) > best:
+                        best, axis = size, v
     pt = np.hypot(p[:, 0], p[:, 1])
     spher = 0.0
     if pt.sum() > 0:
         units = p[pt > 0, :2] / pt[pt > 0, None]
         spher = (PI / 2) ** 2 * min((np.abs(p[:, 0] * u[1] - p[:, 1] * u[0]).sum() / pt.sum()) ** 2 for u in units)
-    return {"thrust": best / total, "sphericity": 1.5 * (l2 + l3), "aplanarity": 1.5 * l3, "c": 3 * (m1 * m2 + m2 * m3 + m3 * m1), "d": 27 * m1 * m2 * m3, "spherocity": float(spher)}
+    found = {"thrust": best / total, "sphericity": 1.5 * (l2 + l3), "aplanarity": 1.5 * l3, "c": 3 * (m1 * m2 + m2 * m3 + m3 * m1), "d": 27 * m1 * m2 * m3, "spherocity": float(spher)}
+    axis, across, sums = axis / np.linalg.norm(axis), _transverse_axis(p[:, :2]), np.abs(p).sum(0)
+    major = _major_axis(sums, axis)
+    wide, thin = float(np.abs(p @ major).sum() / total), float(np.abs(p @ np.cross(major, axis)).sum() / total)
+    upper, mass2 = p[:, :2] @ across > 0, (norm if energy is None else energy) ** 2 - norm**2
+    light, heavy = sorted((float(mass2[upper].sum()), float(mass2[~upper].sum())))
+    found |= {"transverse_thrust": float(np.abs(p[:, :2] @ across).sum() / pt.sum()) if pt.sum() > 0 else 0.0, "major": wide, "minor": thin, "oblateness": wide - thin, "planarity": float(l2 - l3)}
+    return found | {"acoplanarity": 4 * float(sums.min()) / total, "light_mass2": light, "heavy_mass2": heavy, "difference_mass2": heavy - light}
