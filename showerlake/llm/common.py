@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from typing import ClassVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,9 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Set here only where the session has none (tests)."""
+    """The folder all executors share. One is made only where the session has none and runs on this machine alone (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="showerlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
@@ -30,9 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 class Scratch:
     """Parquet tables in the shared folder; they survive lost executors and cut lineage."""
 
+    #: Folders that sweep() has not deleted yet.
+    open_: ClassVar[list[Scratch]] = []
+
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.root = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self.n = 0
+        Scratch.open_.append(self)
 
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
@@ -42,11 +49,20 @@ class Scratch:
         out._scratch_path = path
         return out
 
+    def _delete(self, path: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
     def drop(self, df: DataFrame) -> None:
         """Delete a table made by keep() that nothing will read again."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+        self._delete(df._scratch_path)
+
+
+def sweep(*spared: Scratch) -> None:
+    """Delete the tables of all operators but those spared, for a caller that has stored what they returned."""
+    for scratch in [s for s in Scratch.open_ if s not in spared]:
+        scratch._delete(scratch.root)
+        Scratch.open_.remove(scratch)
 
 
 def release_memory() -> None:
@@ -73,12 +89,51 @@ def unit_hash(seed: int, *cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11) / F.lit(float(1 << 53))
 
 
-#: Ids up to which a table of rows to drop is broadcast; a larger one is joined by shuffle.
+#: Rows up to which a counted table is broadcast; a larger one is joined by shuffle.
 MOST_BROADCAST = 500_000
-
-
-def without(docs: DataFrame, gone: DataFrame, scratch: Scratch) -> DataFrame:
-    """The rows of `docs` whose doc_id is not in `gone` (one column of ids); columns as they came."""
-    held = scratch.keep(gone.toDF("__gone"))
-    small = held.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return docs.join(F.broadcast(held) if small else held, docs["doc_id"] == F.col("__gone"), "left_anti")
+#: A group with more than this share of the rows (and more than LEAST_HOT of them) is joined by broadcast: there are fewer than 1/HOT such groups.
+HOT, LEAST_HOT = 1 / 4000, 256
+
+
+def fresh(frame: DataFrame, *names: str) -> list[str]:
+    """These names, lengthened until the frame has no column of the name."""
+    taken, out = {c.lower() for c in frame.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def is_small(held: DataFrame, most: int | None = None) -> bool:
+    most = MOST_BROADCAST if most is None else most
+    return held.limit(most + 1).count() <= most
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, on: list[str], size: str, total: int, how: str = "inner") -> DataFrame:
+    """rows joined to `facts`, one per key, of which `size` is the number of rows that have the key.
+
+    `how` is inner or left. Few facts are broadcast as they are. Else rows of hot keys (fewer than 1/HOT keys
+    can be hot) meet their facts by broadcast, and only the others are shuffled, so no task gets a hot key.
+    """
+    if is_small(facts):
+        return rows.join(F.broadcast(facts), on, how)
+    hot = F.col(size) > max(LEAST_HOT, int(total * HOT))
+    heavy = F.broadcast(facts.filter(hot))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(facts.filter(~hot), on, how)
+    return rows.join(heavy, on).select(*light.columns).union(light)
+
+
+def without(docs: DataFrame, gone: DataFrame, marks: list[Column], scratch: Scratch) -> DataFrame:
+    """The rows of `docs` that are not in `gone`; columns as they came.
+
+    `gone` has an id and, one for one, the values of `marks` on docs: rows that share their id with another
+    text are told apart by them. A null id equals a null id.
+    """
+    names = fresh(docs, *(f"gone{i}" for i in range(1 + len(marks))))
+    held = scratch.keep(gone.toDF(*names).distinct())
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col(names[0]))
+    for name, mark in zip(names[1:], marks, strict=True):
+        same = same & (mark == F.col(name))
+    return docs.join(F.broadcast(held) if is_small(held) else held, same, "left_anti")

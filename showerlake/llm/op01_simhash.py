@@ -197,4 +197,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     shingles and three bits above belong to the query op1_simhash.
     """
     scratch = Scratch(spark, "near")
-    return without(docs, similar_groups(docs, scratch).filter("doc_id != component_id").select("doc_id"), scratch)
+    return without(docs, similar_groups(docs, scratch).filter("doc_id != component_id").select("doc_id"), [], scratch)

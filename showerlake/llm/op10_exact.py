@@ -1,22 +1,23 @@
 """Exact deduplication over an extendible-hash index kept in shared files. DataFrame operations only.
 
-An index entry is (key, size, digest) of a normalised text with its row count and largest id. The
-directory starts with about a slot per bucket of evenly spread keys and doubles while one overflows: a
-bucket is the shortest prefix of the key's bits, from that depth on, whose entries fit its capacity.
-Entries are written to the shared folder dealt out by bucket, so an owner task holds whole ranges of
-keys. Entries of one key form a chain; those that stand for several rows are confirmed by their bytes
-before their rows are merged.
+The directory starts with about a slot per bucket of evenly spread keys and doubles while one overflows: a
+bucket is the shortest prefix of the key's bits, from that depth on, whose keys fit its capacity. Each
+scan task collapses its rows to pages; pages go to the owner task of their bucket, which holds whole
+ranges of keys, merges the pages of a key and chains what the key stands for. Where several rows share a
+key, length and digest, their texts come to the owner too, and each text that differs in a byte is a
+link of the chain of its own: the links give the group and the row that stays.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import MOST_BROADCAST, Scratch, ascii_lower, table, without
+from .common import Scratch, ascii_lower, is_small, join_facts, table, without
 
-#: Entries that a bucket holds before it splits, doublings beyond the first directory, and the deepest one (2**DEEPEST slots).
+#: Keys that a bucket holds before it splits, doublings beyond the first directory, and the deepest one (2**DEEPEST slots).
 CAPACITY, DOUBLINGS, DEEPEST = 4096, 8, 40
+NAME = ["key", "size", "digest"]
 
 
 def _prefix(key, bits: int):
@@ -32,69 +33,82 @@ def first_depth(rows: int, capacity: int = CAPACITY) -> int:
 def directory(entries: DataFrame, start: int, capacity: int = CAPACITY, doublings: int = DOUBLINGS) -> DataFrame:
     """(slot, bucket, local_depth): the bucket of each occupied slot of the full directory of start + doublings bits.
 
-    Counts of the finest slots are summed map-side; each level of doubling is a sum of pairs of sibling
-    slots. A bucket stops splitting at the first depth from `start` on at which its entries fit; at the
-    deepest level a bucket may hold more and simply stays larger.
+    `entries` has one row per key. Counts of the finest slots are summed map-side; windows over the first
+    directory's slots (at most 2**doublings rows each) add up siblings. A bucket stops splitting at the
+    first depth from `start` on at which its keys fit; at the deepest level it may hold more.
     """
     depth = start + doublings
     fine = entries.groupBy(_prefix(F.col("key"), depth).alias("slot")).agg(F.count("*").alias("n"))
-    spread = fine.select("slot", "n", F.explode(F.sequence(F.lit(start), F.lit(depth))).alias("d")).withColumn("bucket", F.expr(f"shiftright(slot, {depth} - d)"))
-    totals = spread.groupBy("d", "bucket").agg(F.sum("n").alias("total")).filter((F.col("total") <= capacity) | (F.col("d") == depth))
-    shortest = spread.join(totals, ["d", "bucket"]).groupBy("slot").agg(F.min(F.struct("d", "bucket")).alias("b"))
-    return shortest.select("slot", F.col("b.bucket").alias("bucket"), F.col("b.d").alias("local_depth"))
+    at = lambda d: F.expr(f"shiftright(slot, {depth - d})")
+    dealt = fine.withColumn("first", at(start)).repartition("first")
+    bucket, local = at(depth), F.lit(depth)
+    for d in range(depth - 1, start - 1, -1):
+        fits = F.sum("n").over(Window.partitionBy("first", at(d))) <= capacity
+        bucket, local = F.when(fits, at(d)).otherwise(bucket), F.when(fits, d).otherwise(local)
+    return dealt.select("slot", bucket.alias("bucket"), local.alias("local_depth"))
 
 
-def index_rows(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, size, digest) of each row: what stands for its normalised text."""
-    text = ascii_lower(F.col("text"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("norm")).select(
-        "doc_id", F.xxhash64("norm").alias("key"), F.octet_length("norm").alias("size"), F.unhex(F.sha2(F.col("norm"), 256)).alias("digest")
-    )
+def named(norm: Column) -> tuple[Column, Column, Column]:
+    """What stands for a normalised text: key, length and digest."""
+    return F.xxhash64(norm), F.octet_length(norm), F.unhex(F.sha2(norm, 256))
+
+
+def _with_names(docs: DataFrame) -> DataFrame:
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("norm"))
+    return text.select("doc_id", "norm", *(c.alias(n) for c, n in zip(named(F.col("norm")), NAME, strict=True)))
+
+
+def _merged(pages: DataFrame, by: list[str]) -> DataFrame:
+    """Pages of the scan tasks, dealt to the owners of whole buckets and merged there."""
+    return pages.repartition("bucket").groupBy("bucket", *by).agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+
+
+def _pages(rows: DataFrame, by: list[str]) -> DataFrame:
+    """One row per scan task and value of `by`: a group of any share of the rows collapses before it travels."""
+    return rows.groupBy(F.spark_partition_id().alias("page"), *by).agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).drop("page")
 
 
 def build_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """(rows, index): the compact row table, and the entries in shared files dealt out by bucket."""
-    rows = scratch.keep(index_rows(docs))
-    entries = rows.groupBy("key", "size", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    """(rows, index): the compact row table, and (bucket, key, size, digest, keep_id, group_size), sorted within whole buckets."""
+    rows = scratch.keep(_with_names(docs).select("doc_id", *NAME))
     start = first_depth(rows.count())
-    placed = entries.join(directory(entries, start), _prefix(F.col("key"), start + DOUBLINGS) == F.col("slot")).select("bucket", "key", "size", "digest", "keep_id", "group_size")
-    return rows, scratch.keep(placed.repartition("bucket").sortWithinPartitions("bucket", "key"))
+    slots = scratch.keep(directory(rows.select("key").distinct(), start))
+    placed = _pages(rows, NAME).withColumn("slot", _prefix(F.col("key"), start + DOUBLINGS)).join(F.broadcast(slots) if is_small(slots) else slots, "slot")
+    return rows, scratch.keep(_merged(placed, NAME).sortWithinPartitions("bucket", "key"))
 
 
-def confirm(docs: DataFrame, index: DataFrame) -> DataFrame:
-    """(key, size, digest, distinct): how many different texts stand behind each entry of several rows.
+def chains(docs: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
+    """(key, size, digest, norm, keep_id, group_size): a link for each different text behind an entry of several rows.
 
-    Only rows of such entries are read again; grouping by the text itself compares their bytes, and a
-    group of copies of any size collapses before the shuffle.
+    Only the texts of such entries are read again; they go to the owner of their bucket as pages.
     """
-    text = ascii_lower(F.col("text"))
-    several = index.filter("group_size > 1")
-    shared = several.select("key").distinct().withColumnRenamed("key", "k")
-    if several.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
-        shared = F.broadcast(shared)  # else the texts themselves would travel to meet a few keys
-    back = docs.select(text.alias("norm")).withColumn("key", F.xxhash64("norm")).join(shared, F.col("key") == F.col("k"), "left_semi")
-    chains = back.groupBy("key", "norm").agg(F.count("*").alias("n"))
-    return chains.groupBy("key", F.octet_length("norm").alias("size"), F.unhex(F.sha2(F.col("norm"), 256)).alias("digest")).agg(F.count("*").alias("distinct"), F.sum("n").alias("confirmed"))
+    several = scratch.keep(index.filter("group_size > 1").select("bucket", *NAME))
+    texts = _with_names(docs).join(F.broadcast(several) if is_small(several) else several, NAME)
+    return scratch.keep(_merged(_pages(texts, ["bucket", *NAME, "norm"]), [*NAME, "norm"]).drop("bucket"))
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, keep_id, group_size, kept, digest) of every row; texts equal after lower-casing A-Z are one group.
 
     Null counts as empty text and is a group like any other. The largest id stays; rows that share
-    both id and text share the decision and all count. An empty table gives an empty result, columns
-    other than doc_id and text are not read. Should two different texts ever share key, length and
-    digest, the entry is refused (an error) instead of merging them.
+    both id and text share the decision and all count; rows that share an id with another text are
+    judged by their own. Very long texts are compared whole. An empty table gives an empty result, columns
+    other than doc_id and text are not read, so their names cannot clash. Should different texts ever share
+    key, length and digest, they are links of one chain and groups of their own.
     """
     rows, index = build_index(docs, scratch)
-    proof = confirm(docs, index).select(F.col("key").alias("ck"), F.col("size").alias("cs"), F.col("digest").alias("cd"), "distinct", "confirmed")
-    checked = index.join(proof, (F.col("key") == F.col("ck")) & (F.col("size") == F.col("cs")) & (F.col("digest") == F.col("cd")), "left")
-    sound = F.when(F.col("group_size") == 1, True).otherwise((F.col("distinct") == 1) & (F.col("confirmed") == F.col("group_size")))
-    entries = checked.select(
-        F.col("key").alias("ek"), F.col("size").alias("es"), F.col("digest").alias("ed"), "keep_id",
-        F.when(F.coalesce(sound, F.lit(False)), F.col("group_size")).otherwise(F.raise_error(F.lit("different texts share key, length and digest")).cast("long")).alias("group_size"),
-    )
-    joined = rows.join(entries, (F.col("key") == F.col("ek")) & (F.col("size") == F.col("es")) & (F.col("digest") == F.col("ed")))
-    return joined.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    links = chains(docs, index, scratch)
+    facts = links.select(*NAME, "keep_id", "group_size")
+    clash = scratch.keep(links.groupBy(*NAME).agg(F.count("*").alias("links"), F.sum("group_size").alias("of")).filter("links > 1"))
+    out = ["doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest"]
+    total = rows.count()
+    if clash.isEmpty():
+        found = join_facts(rows, facts, NAME, "group_size", total, "left").select(*out)
+    else:  # by the text itself, only for what the digest does not tell apart
+        plain = join_facts(rows.join(clash, NAME, "left_anti"), facts.join(clash, NAME, "left_anti"), NAME, "group_size", total, "left").select(*out)
+        odd = _with_names(docs).join(F.broadcast(clash.select(*NAME)) if is_small(clash) else clash.select(*NAME), NAME, "left_semi")
+        found = plain.union(join_facts(odd, links, [*NAME, "norm"], "group_size", total).select(*out))
+    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +128,12 @@ FROM norm n JOIN sets s ON n.t = s.t
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id stays; columns as they came."""
+    """Of equal texts the row with the largest id stays; columns as they came, whatever their names.
+
+    Null texts are one group with empty ones. Rows are dropped by id and text, so another text under the
+    same id stays; rows equal in both stay together. A null id yields to any other id of its group. Ties
+    cannot arise otherwise, very long texts are compared whole, and an empty table gives an empty result.
+    """
     scratch = Scratch(spark, "exact")
-    return without(docs, exact_groups(docs, scratch).filter("not kept").select("doc_id"), scratch)
+    gone = exact_groups(docs, scratch).filter("not kept").select("doc_id", "digest")
+    return without(docs, gone, [named(ascii_lower(docs["text"]))[2]], scratch)
