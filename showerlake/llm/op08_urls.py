@@ -1,9 +1,11 @@
 """URL filters: explicit rules, and for all else a tree of path templates per host. DataFrame operations only.
 
-Digits in a path segment are generalised first. Then, level by level, rare segments under a node with
-many children become one wildcard, and labelled siblings whose block rates do not differ statistically
-are merged into one branch. A template is rejected when its smoothed share of blocked labels is high; the
-labels are the verdicts that the rules give to the pages they cover.
+Digits in a path segment are generalised first. Then, level by level, the rarer segments of a node whose
+pages keep bringing new names become one wildcard, and siblings that do not differ statistically are merged
+into one branch: labelled ones by their block rates, all by the shape of what lies below them. A template
+is rejected when its smoothed share of blocked labels is high; the labels are the verdicts that the rules
+give to the pages they cover, and a node is smoothed towards its parent, up to its host, so that evidence
+reaches the templates that no rule covers.
 """
 
 from __future__ import annotations
@@ -11,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import UPPER, Scratch, table
+from .common import UPPER, Scratch, join_facts, table
 
 #: (verdict, host, path) of the query's rules.
 RULES = [
@@ -21,12 +23,18 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
-#: Levels with a node each; what lies below is one segment. Children of a node before rare ones become a wildcard.
-DEPTH, WIDE = 12, 20
-#: Labels that a branch needs to be merged, and how many standard errors still count as alike.
+#: Levels with a node each; what lies below is one segment, as it is.
+DEPTH = 12
+#: Children of a node, and share of its pages whose segment comes once, from which its rarer segments are variable.
+LEAST_KIDS, NEW = 3, 0.2
+#: Labels that a branch needs to be told apart by them, and how many standard errors still count as alike.
 LEAST_LABELS, ALIKE = 5, 1.96
-#: Pseudo-labels, split evenly, and the smoothed block share from which a template is rejected.
-PRIOR, REJECT = 4.0, 0.8
+#: Pages that a branch needs before its shape counts.
+LEAST_PAGES = 5
+#: Pseudo-labels, of a purity between even and the parent's (even ones at the host), and the smoothed block share from
+#: which a template is rejected. A parent alone never rejects: that takes labels in the template's own, merged branch.
+PRIOR, TOWARDS, REJECT = 4.0, 0.5, 0.8
+NODE = ["host", "parent"]
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -45,59 +53,96 @@ def match_rules(host: Column, path: Column, rules: list[tuple[str, str, str]]) -
     return rule, verdict
 
 
-def segments(path: Column) -> Column:
-    """Template segments of a path: digit runs are one `#`, what lies below DEPTH is one `**`."""
-    parts = F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda s: s != "")
-    return F.when(F.size(parts) > DEPTH, F.concat(F.slice(parts, 1, DEPTH), F.array(F.lit("**")))).otherwise(parts)
+def generalised(path: Column) -> Column:
+    """The path without empty segments, each run of digits one `#`."""
+    return F.array_join(F.filter(F.split(F.regexp_replace(path, "[0-9]+", "#"), "/"), lambda x: x != ""), "/")
 
 
-def judge_templates(leaves: DataFrame, scratch: Scratch) -> DataFrame:
-    """(host, raw, template, purity) of each raw template; `leaves` has host, raw, segs, n, blocked, allowed."""
-    now = scratch.keep(leaves)
+def segments(raw: Column) -> Column:
+    """Segments of a generalised path; what lies below DEPTH is one. Each begins with `=`, which names of merged branches do not."""
+    parts = F.when(raw == "", F.array().cast("array<string>")).otherwise(F.split(raw, "/"))
+    deep = F.concat(F.slice(parts, 1, DEPTH), F.array(F.array_join(F.slice(parts, DEPTH + 1, F.size(parts)), "/")))
+    return F.transform(F.when(F.size(parts) > DEPTH, deep).otherwise(parts), lambda x: F.concat(F.lit("="), x))
+
+
+def _shapes(at: DataFrame, level: int, total: int) -> DataFrame:
+    """(host, parent, segment, same_shape): whether what lies below a child is spread as below all children of its node."""
+    below = F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))
+    seen = at.groupBy(*NODE, "segment", below.alias("below")).agg(F.sum("n").alias("o"))
+    pooled = seen.groupBy(*NODE, "below").agg(F.sum("o").alias("e"), F.count("*").alias("of"))
+    own = seen.groupBy(*NODE, "segment").agg(F.sum("o").alias("kn"))
+    node = pooled.groupBy(*NODE).agg(F.sum("e").alias("all"), (F.count("*") - 1).alias("freedom"), F.sum("of").alias("of"))
+    known = join_facts(seen, pooled, [*NODE, "below"], "of", total).drop("of")
+    known = join_facts(known, node, NODE, "of", total).drop("of").join(own, [*NODE, "segment"])
+    chi = known.groupBy(*NODE, "segment").agg((F.sum(F.col("o") * F.col("o") * F.col("all") / (F.col("e") * F.col("kn"))) - F.max("kn")).alias("chi"), F.max("freedom").alias("freedom"), F.max("kn").alias("kn"))
+    return chi.select(*NODE, "segment", ((F.col("kn") >= LEAST_PAGES) & (F.col("chi") <= F.col("freedom") + ALIKE * F.sqrt(2 * F.col("freedom")) + 1e-6)).alias("same_shape"))
+
+
+def _purity(blocked: Column, allowed: Column, prior: Column) -> Column:
+    return (blocked + PRIOR * prior) / (blocked + allowed + PRIOR)
+
+
+def judge_templates(leaves: DataFrame, scratch: Scratch, spread: bool = False) -> DataFrame:
+    """(host, raw, template, purity) of each raw template; `leaves` has host, raw, segs, n, blocked, allowed.
+
+    With `spread` evidence reaches branches without labels: they merge with siblings of their shape, and
+    nodes are smoothed towards their parents. Else only labelled branches merge, and the pseudo-labels are even.
+    """
+    even = F.lit(0.5)
+    start = leaves.select("host", "raw", "segs", "n", "blocked", "allowed")
+    hosts = start.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"), F.count("*").alias("of"))
+    total = start.count()
+    now = scratch.keep(join_facts(start, hosts, ["host"], "of", total).select(*start.columns, (_purity(F.col("hb"), F.col("ha"), even) if spread else even).alias("purity")))
     levels = now.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(levels):
-        parent, segment = F.slice("segs", 1, level) if level else F.array().cast("array<string>"), F.get("segs", F.lit(level))
-        at = now.select("*", parent.alias("parent"), segment.alias("segment"))
-        kids = at.filter("segment is not null").groupBy("host", "parent", "segment").agg(F.sum("n").alias("kn"), F.sum("blocked").alias("kb"), F.sum("allowed").alias("ka"))
+        parent = F.slice("segs", 1, level) if level else F.array().cast("array<string>")
+        at = now.filter(F.size("segs") > level).select("*", parent.alias("parent"), F.get("segs", F.lit(level)).alias("segment"))
+        kids = at.groupBy(*NODE, "segment").agg(F.sum("n").alias("kn"), F.sum("blocked").alias("kb"), F.sum("allowed").alias("ka"), F.count("*").alias("of"))
+        if spread:
+            kids = kids.join(_shapes(at, level, total), [*NODE, "segment"])
+        else:
+            kids = kids.withColumn("same_shape", (F.col("kb") + F.col("ka")) >= LEAST_LABELS)
         labelled = (F.col("kb") + F.col("ka")) >= LEAST_LABELS
-        totals = kids.groupBy(F.col("host").alias("th"), F.col("parent").alias("tp")).agg(
-            F.count("*").alias("kids"), F.sum("kn").alias("tn"), F.sum(F.when(labelled, F.col("kb"))).alias("tb"), F.sum(F.when(labelled, F.col("ka"))).alias("ta")
+        nodes = kids.groupBy(*NODE).agg(
+            F.count("*").alias("kids"), F.sum("kn").alias("tn"), F.count(F.when(F.col("kn") == 1, 1)).alias("once"), F.sum(F.when(labelled, F.col("kb"))).alias("tb"), F.sum(F.when(labelled, F.col("ka"))).alias("ta")
         )
-        both = kids.join(totals, (F.col("host") == F.col("th")) & (F.col("parent") == F.col("tp")))
+        both = join_facts(kids, nodes, NODE, "kids", total)
         n, m = F.col("kb") + F.col("ka"), F.col("tb") + F.col("ta")
         pooled = F.col("tb") / m
         error = F.sqrt(pooled * (1 - pooled) * (1 / n))
-        alike = labelled & (F.abs(F.col("kb") / n - pooled) <= ALIKE * error + 1e-9)
-        name = F.when((F.col("kids") > WIDE) & (F.col("kn") * WIDE < F.col("tn")), "*").when((F.col("kids") > 1) & F.coalesce(alike, F.lit(False)), "~").otherwise(F.col("segment"))
-        renamed = both.select(F.col("host").alias("rh"), F.col("parent").alias("rp"), F.col("segment").alias("rs"), name.alias("name"))
-        joined = at.join(renamed, (F.col("host") == F.col("rh")) & (F.col("parent") == F.col("rp")) & (F.col("segment") == F.col("rs")), "left")
-        segs = F.when(F.col("name").isNull(), F.col("segs")).otherwise(F.concat(F.col("parent"), F.array("name"), F.slice("segs", level + 2, DEPTH + 1)))
-        after = scratch.keep(joined.select("host", "raw", segs.alias("segs"), "n", "blocked", "allowed"))
+        alike = F.col("same_shape") & (~labelled | F.coalesce(F.abs(F.col("kb") / n - pooled) <= ALIKE * error + 1e-9, F.lit(False)))
+        variable = (F.col("kids") >= LEAST_KIDS) & (F.col("once") >= NEW * F.col("tn")) & (F.col("kn") * F.col("kids") <= F.col("tn"))
+        name = F.when(variable, "*").when((F.col("kids") > 1) & alike, "~").otherwise(F.col("segment"))
+        named = scratch.keep(both.select(*NODE, "segment", name.alias("name"), "kb", "ka", "of"))
+        sums = named.groupBy(*NODE, "name").agg(F.sum("kb").alias("nb"), F.sum("ka").alias("na"), F.count("*").alias("kinds"))
+        facts = join_facts(named, sums, [*NODE, "name"], "kinds", total).select(*NODE, "segment", "name", "nb", "na", "of")
+        joined = join_facts(at, scratch.keep(facts), [*NODE, "segment"], "of", total)
+        segs = F.concat(F.col("parent"), F.array("name"), F.slice("segs", level + 2, DEPTH + 1))
+        moved = joined.select("host", "raw", segs.alias("segs"), "n", "blocked", "allowed", _purity(F.col("nb"), F.col("na"), 0.5 + TOWARDS * (F.col("purity") - 0.5) if spread else even).alias("purity"))
+        after = scratch.keep(now.filter(F.size("segs") <= level).union(moved.select(*now.columns)))
         scratch.drop(now)
         now = after
-    merged = now.groupBy(F.col("host").alias("mh"), F.col("segs").alias("ms")).agg(F.sum("blocked").alias("b"), F.sum("allowed").alias("a"))
-    purity = (F.col("b") + PRIOR / 2) / (F.col("b") + F.col("a") + PRIOR)
-    return now.join(merged, (F.col("host") == F.col("mh")) & (F.col("segs") == F.col("ms"))).select("host", "raw", F.concat(F.lit("/"), F.array_join("segs", "/")).alias("template"), purity.alias("purity"))
+    plain = F.transform("segs", lambda x: F.regexp_replace(x, "^=", ""))
+    return now.select("host", "raw", F.concat(F.lit("/"), F.array_join(plain, "/")).alias("template"), "purity")
 
 
 def judge(pages: DataFrame, scratch: Scratch, rules: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """(page_id, host, path, rule, verdict, template, purity) of every page.
 
     A null url or one without `://` has an empty host and path and no rule; it is judged like any other.
-    Templates without labels are allowed. Equal urls, ties and repeated rows get equal verdicts; an empty
-    table gives an empty result; other columns are not read. Templates are counted map-side, so a host of
-    any share collapses before the shuffle.
+    Templates of hosts without labels are allowed. Equal urls, ties and repeated rows get equal verdicts; an
+    empty table gives an empty result; very long paths are read whole; other columns are not read, so their
+    names cannot clash. Templates are counted map-side, so a host of any share collapses before the shuffle.
     """
     host, path = host_and_path(F.col("url").cast("string"))
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = match_rules(F.col("host"), F.col("path"), RULES if rules is None else rules)
-    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), segments(F.col("path")).alias("segs"))
-    rows = rows.withColumn("raw", F.array_join("segs", "/"))
-    leaves = rows.groupBy("host", "raw").agg(
-        F.any_value("segs").alias("segs"), F.count("*").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("allowed")
-    )
-    found = judge_templates(leaves, scratch).select(F.col("host").alias("jh"), F.col("raw").alias("jr"), "template", "purity")
-    out = rows.join(found, (F.col("host") == F.col("jh")) & (F.col("raw") == F.col("jr")), "left")
+    rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), generalised(F.col("path")).alias("raw"))
+    leaves = rows.groupBy("host", "raw").agg(F.count("*").alias("n"), F.count(F.when(F.col("by_rule") == "block", 1)).alias("blocked"), F.count(F.when(F.col("by_rule") == "allow", 1)).alias("allowed"))
+    leaves = scratch.keep(leaves)
+    found = judge_templates(leaves.withColumn("segs", segments(F.col("raw"))), scratch, spread=True)
+    facts = scratch.keep(found.join(leaves.select("host", "raw", "n"), ["host", "raw"]))
+    out = join_facts(rows, facts, ["host", "raw"], "n", pages.count())
     by_template = F.when(F.col("purity") >= REJECT, "block").otherwise("allow")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", by_template).alias("verdict"), "template", "purity")
 
