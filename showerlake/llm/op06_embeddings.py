@@ -1,8 +1,8 @@
 """Embedding near-duplicates by product quantisation over inverted lists.
 
 Unit vectors are filed under the nearest of K coarse centroids; the residual is cut into subspaces with a
-codebook each. A query looks up its distance tables (asymmetric: the query itself is not quantised) in its
-nearest lists. The codes' own error is stored with them, so table value plus error bounds the cosine from
+codebook each. A query looks up its distance tables (asymmetric: the query itself is not quantised) in all
+lists that are not much farther from it than the nearest. The codes' own error is stored with them, so table value plus error bounds the cosine from
 above and nothing inside a probed list is lost; what passes the bound is ranked again by the exact cosine
 in double precision. Lists are worked in cells of bounded size; a cell returns link counts and a spanning
 star, never its pairs.
@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from .common import Scratch, table, unit_hash
+from .common import Scratch, join_facts, table, unit_hash
 from .components import Forest, connected_components
 
 COSINE = 0.9
@@ -26,8 +26,12 @@ COSINE = 0.9
 SAMPLE, SAMPLE_PER_LIST = 12_000, 8
 #: Vectors per list, and bounds of the list count.
 PER_LIST, LEAST_LISTS, MOST_LISTS = 256, 8, 4096
-#: Lists a query looks into, at least; subspaces and codewords of each.
-PROBES, SUBSPACES, CODEWORDS = 16, 8, 256
+#: A query looks into every list whose centroid is at most this many standard deviations farther from it than the
+#: nearest one: of two unit vectors at COSINE in d dimensions, one lies off the other by sqrt(1 - COSINE**2) in a
+#: direction whose cosines with two centroids differ by sqrt(2 / d). So the share of lists does not shrink as they grow.
+DEVIATIONS = 2.5
+#: Subspaces and codewords of each.
+SUBSPACES, CODEWORDS = 8, 256
 #: Rows of a cell: stored vectors and queries.
 CELL_STORED, CELL_QUERIES = 512, 1024
 
@@ -66,6 +70,16 @@ class Quantiser:
             out.append(np.take_along_axis(top, np.argsort(-np.take_along_axis(sims, top, 1), axis=1, kind="stable"), 1))
         return np.concatenate(out) if out else np.zeros((0, n), np.int64)
 
+    def probes(self, x: np.ndarray) -> list[np.ndarray]:
+        """The lists that each row looks into, nearest first."""
+        margin, out = DEVIATIONS * np.sqrt((1 - COSINE**2) * 2 / max(1, x.shape[1])), []
+        for at in range(0, len(x), 1024):
+            sims = x[at : at + 1024] @ self.coarse.T
+            rows, lists = np.nonzero(sims >= sims.max(1, keepdims=True) - margin)
+            order = np.lexsort((lists, -sims[rows, lists], rows))
+            out += np.split(lists[order].astype(np.int32), np.cumsum(np.bincount(rows, minlength=len(sims)))[:-1])
+        return out
+
     def encode(self, x: np.ndarray, lists: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Subspace codes of the residuals, and the norm of what the codes miss."""
         residual = x - self.coarse[lists]
@@ -102,22 +116,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): rows with a vector that can link: not null, no null or non-finite component, not zero."""
-    v = F.col("embedding").cast("array<double>")
-    finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf")))
-    return vectors.select("vec_id", v.alias("v")).filter(F.col("v").isNotNull() & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda c: c != 0))
+def usable(vectors: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, cls, other, v): all rows; cls and other, two hashes that name the vector, are null where it cannot link.
+
+    It can if it is not null, not zero and has no null or non-finite component.
+    """
+    element = "float" if kind == "<f4" else "double"
+    v = F.col("embedding").cast(f"array<{element}>")
+    finite = F.coalesce(F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))), F.lit(False)) & F.exists("v", lambda c: c != 0)
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).select("vec_id", F.when(finite, F.col("v")).alias("v"))
+    name = lambda seed: F.when(F.col("v").isNotNull(), F.xxhash64(F.lit(seed), "v"))
+    return rows.select("vec_id", name(1).alias("cls"), name(2).alias("other"), "v")
 
 
-def pack(classes: DataFrame, kind: str) -> DataFrame:
-    """(rep, blob, n) from (rep, v, n)."""
+def pack(rows: DataFrame, kind: str) -> DataFrame:
+    """(vec_id, cls, other, blob) from (vec_id, cls, other, v)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            blobs = [np.asarray(v.values).astype(kind).tobytes() for v in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary()), batch.column(2)], ["rep", "blob", "n"])
+            blobs = [np.asarray(v.values).astype(kind).tobytes() for v in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(blobs, pa.binary())], ["vec_id", "cls", "other", "blob"])
 
-    return classes.mapInArrow(run, "rep long, blob binary, n long")
+    return rows.mapInArrow(run, "vec_id long, cls long, other long, blob binary")
 
 
 def train(classes: DataFrame, count: int, kind: str, sample: int = SAMPLE) -> Quantiser | None:
@@ -143,10 +163,10 @@ def near_links(classes: DataFrame, quantiser: Quantiser, kind: str, scratch: Scr
             x = _unit(_matrix(batch.column(1).to_pylist(), kind))
             if not len(x):
                 continue
-            probes = quantiser.near(x, PROBES).astype(np.int32)
-            codes, error = quantiser.encode(x, probes[:, 0])
+            probes = quantiser.probes(x)
+            codes, error = quantiser.encode(x, np.array([p[0] for p in probes]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array(list(probes), pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
+                [batch.column(0), batch.column(1), batch.column(2), pa.array(probes, pa.list_(pa.int32())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error)],
                 ["rep", "blob", "n", "probes", "code", "error"],
             )
 
@@ -209,26 +229,36 @@ def near_links(classes: DataFrame, quantiser: Quantiser, kind: str, scratch: Scr
 
 
 def near_duplicates(vectors: DataFrame, scratch: Scratch) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row.
+    """(vec_id, n_links, component_id, kept) of every row, one row for each.
 
-    Vectors that are null, zero, or hold null or non-finite components link with nothing. Equal vectors
-    form one class before any search, so copies of any number cost one comparison; the counts stand for
-    rows. Repeated rows count as rows; an empty table gives an empty result; other columns are not
-    read. Vectors must have one dimension.
+    Vectors that are null, empty, zero, or hold null or non-finite components link with nothing; vectors of
+    different lengths do not link. Equal vectors form one class before any search, so copies of any number
+    cost one comparison; the counts stand for rows. Rows that repeat a vector or an id count as rows, and
+    each vector under a shared id is judged by itself. An empty table gives an empty result; other columns
+    are not read, so their names cannot clash.
     """
-    good, kind = usable(vectors), stored_kind(vectors)
-    grouped = good.groupBy("v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
-    classes = scratch.keep(pack(grouped.select("rep", "v", "n"), kind))
-    members = scratch.keep(good.join(grouped.withColumnRenamed("v", "cv"), F.col("v") == F.col("cv")).select("vec_id", "rep", "n"))
-    quantiser = train(classes, classes.count(), kind)
-    if quantiser is None:
-        return vectors.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    counts, edges = near_links(classes, quantiser, kind, scratch)
-    comps = connected_components(edges, scratch)
-    named = classes.select("rep").join(counts, F.col("rep") == F.col("a"), "left").join(comps, F.col("rep") == F.col("node"), "left").select(F.col("rep").alias("r"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "rep").alias("comp"))
-    linked = members.join(named, F.col("rep") == F.col("r")).select(F.col("vec_id").alias("m"), (F.col("links") + F.col("n") - 1).alias("links"), "comp").distinct()
-    out = vectors.select("vec_id").join(linked, F.col("vec_id") == F.col("m"), "left")
-    result = out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("comp", "vec_id").alias("component_id"))
+    kind = stored_kind(vectors)
+    rows = usable(vectors, kind)
+    members = scratch.keep(rows.select("vec_id", "cls"))
+    packed = pack(rows.filter("cls IS NOT NULL"), kind)
+    classes = scratch.keep(packed.groupBy("cls", "other").agg(F.min("vec_id").alias("first"), F.count("*").alias("n"), F.first("blob").alias("blob")))
+    lengths = [(r[0], r[1]) for r in classes.groupBy(F.octet_length("blob")).count().filter("count > 1").collect()]
+    counts = edges = None
+    for length, count in sorted(lengths):
+        same = classes.filter(F.octet_length("blob") == length).select(F.col("cls").alias("rep"), "blob", "n")
+        got, links = near_links(same, train(same, count, kind), kind, scratch)
+        counts, edges = (got, links) if counts is None else (counts.union(got), edges.union(links))
+    named = classes.select("cls", "first", "n", F.lit(0).alias("links"), F.col("cls").alias("c"))
+    if counts is not None:
+        comps = connected_components(edges, scratch)
+        joined = classes.join(counts, F.col("cls") == F.col("a"), "left").join(comps, F.col("cls") == F.col("node"), "left")
+        named = joined.select("cls", "first", "n", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component", "cls").alias("c"))
+    named = scratch.keep(named)
+    lowest = scratch.keep(named.groupBy("c").agg(F.min("first").alias("component_id"), F.count("*").alias("of")))
+    facts = scratch.keep(join_facts(named, lowest, ["c"], "of", classes.count()).select("cls", "n", (F.col("links") + F.col("n") - 1).alias("n_links"), "component_id"))
+    found = join_facts(members.filter("cls IS NOT NULL"), facts, ["cls"], "n", members.count()).select("vec_id", "n_links", "component_id")
+    alone = members.filter("cls IS NULL").select("vec_id", F.lit(0).alias("n_links"), F.col("vec_id").alias("component_id"))
+    result = found.union(alone).select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
