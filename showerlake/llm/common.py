@@ -6,6 +6,7 @@ import ctypes
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 from typing import ClassVar
 
 import pyarrow as pa
@@ -65,6 +66,13 @@ def sweep(*spared: Scratch) -> None:
         Scratch.open_.remove(scratch)
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what a function makes of a batch stays small."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
 def release_memory() -> None:
     """Give freed memory back to the system: idle Python workers stay alive beside the next stage's tasks."""
     gc.collect()
@@ -79,6 +87,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())
 
 
+def text_mark(text: Column) -> Column:
+    """Tells rows that share an id apart by their texts as they came; null counts as empty."""
+    return F.xxhash64(F.coalesce(text.cast("string"), F.lit("")))
+
+
 def fold_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text modulo `modulus`: the fixed held-out folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

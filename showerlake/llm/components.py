@@ -80,7 +80,9 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     `max_rounds` do not suffice, rather than returning something unfinished.
     """
     clean = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).filter("a != b")
-    now = scratch.keep(clean.mapInArrow(_thin, "a long, b long").distinct())
+    stored = scratch.keep(clean)  # edges often come from Python, and two workers for a task would double its memory
+    now = scratch.keep(stored.mapInArrow(_thin, "a long, b long").distinct())
+    scratch.drop(stored)
     mark = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b") / F.lit(2.0**40)).cast("decimal(38,6)"), F.bit_xor(F.xxhash64("a", "b"))).first()
     before = None
     for _ in range(max_rounds):

@@ -17,6 +17,10 @@ SLOT_BITS, PAIR_BITS = 20, 21
 WIDEST = 40
 
 
+class HashClash(ValueError):
+    """Two byte strings share a 64-bit hash; the words of the pass must be encoded without lanes."""
+
+
 class Lanes:
     def __init__(self, vocabulary):
         v = self.vocabulary = vocabulary
@@ -115,7 +119,7 @@ class Lanes:
                 last[end, open_[good]] = t[good]
                 open_ = open_[~good]
             if len(open_):
-                raise ValueError("a byte has no token")
+                raise HashClash("a byte has no token")
         out: list = [None] * n
         end, steps, lanes = lengths.copy(), [], np.arange(n)
         while len(lanes):
@@ -132,6 +136,6 @@ class Lanes:
         for k, i in enumerate(order.tolist()):
             found = tuple(ids[cuts[k] : cuts[k + 1]])
             if b"".join([bytes_of[t] for t in found]) != words[i]:
-                raise ValueError("two byte strings share a hash")
+                raise HashClash("two byte strings share a hash")
             out[i] = found
         return out

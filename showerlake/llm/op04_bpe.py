@@ -15,19 +15,20 @@ from functools import lru_cache
 from itertools import chain
 
 import numpy as np
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release_memory, table
-from .lanes import WIDEST, Lanes
+from .common import release_memory, slices, table
+from .lanes import WIDEST, HashClash, Lanes
 from .pretokens import VOCABULARY, Words, ranks
 
 #: Words remembered by a task before it starts afresh, characters of text whose new words are learned together,
 #: and pre-tokens that share a pass of lanes.
 CACHE = 200_000
 GATHER = 2_000_000
+#: The first two in the pipeline, whose stages share the executors' memory with idle workers of other stages.
+LEAN = (100_000, 1_000_000)
 SHARE = 32_768
 #: Ids of an output batch.
 FLUSH = 1_000_000
@@ -194,13 +195,17 @@ class Encoder(Words):
         short.sort(key=lambda pair: len(pair[1]))  # lanes of about equal length, so that no pass is wider than it must be
         for at in range(0, len(short), SHARE):
             part = short[at : at + SHARE]
-            ids.update(zip([p for p, _ in part], self.lanes.encode([d for _, d in part]), strict=True))
+            try:
+                found = self.lanes.encode([d for _, d in part])
+            except HashClash:
+                found = [tuple(PrefixTable(self.vocabulary, d).tokens()) for _, d in part]
+            ids.update(zip([p for p, _ in part], found, strict=True))
         self.seen.update((w, ids[found[0]] if len(found) == 1 else tuple(chain.from_iterable(map(ids.__getitem__, found)))) for w, found in zip(words, parts, strict=True))
 
-    def encode_batch(self, texts: list[str]) -> Iterator[list[int]]:
+    def encode_batch(self, texts: list[str], cache: int = CACHE, gather: int = GATHER) -> Iterator[list[int]]:
         """Ids of each text; unknown words of some texts at a time are learned together."""
         ids = self.seen.__getitem__
-        for split in self.learned(texts, CACHE, GATHER):
+        for split in self.learned(texts, cache, gather):
             for found in split:
                 yield list(chain.from_iterable(map(ids, found)))
 
@@ -216,11 +221,12 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str, digests: bool = False, cache: int = CACHE, gather: int = GATHER) -> DataFrame:
     """(doc_id, ids, decoded) of every whole text, or (doc_id, n_tokens, ids_sha256, decoded_sha256) with `digests`.
 
     Null counts as empty; an empty text has no ids. Row by row within Arrow batches, so order, ties and
-    repeated rows do not matter and memory is bounded by a batch; other columns are not read.
+    repeated rows do not matter and memory is bounded by a batch; other columns are not read. `path` is a rank
+    file, or the name of one that each worker finds for itself.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "doc_id long, ids array<int>, decoded binary"
 
@@ -235,9 +241,9 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
         gc.disable()  # no cycles here, and walking the remembered words over and over is dear
         e = encoder(path)
         names = list(map(str, range(len(e.vocabulary.bytes_of))))
-        for batch in batches:
+        for batch in slices(batches):
             rows, room, at = [], FLUSH, 0
-            for ids in e.encode_batch([t or "" for t in batch.column(1).to_pylist()]):
+            for ids in e.encode_batch([t or "" for t in batch.column(1).to_pylist()], cache, gather):
                 decoded = e.decode(ids)
                 if digests:
                     rows.append((len(ids), hashlib.sha256(",".join(map(names.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()))
@@ -249,18 +255,22 @@ def encode_documents(docs: DataFrame, path: str, digests: bool = False) -> DataF
                     rows, room, at = [], FLUSH, at + len(rows)
             yield made(batch.column(0).slice(at, len(rows)), rows)
         e.seen.clear()
+        gc.enable()
         release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), digests=True)
+    return encode_documents(table(spark, sf_dir, "documents"), VOCABULARY, digests=True)
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The last stage: token ids of each document, with their count and digests of ids and decoded text."""
-    path = public_tokenizers.path(VOCABULARY)
-    out = encode_documents(docs, path)
+    """The last stage: (doc_id, n_tokens, ids, ids_sha256, decoded_sha256) of each row, whatever its other columns.
+
+    Null and empty texts have no ids; rows that repeat an id or a text each give their row; very long texts
+    are encoded whole; an empty table gives an empty result.
+    """
+    out = encode_documents(docs, VOCABULARY, cache=LEAN[0], gather=LEAN[1])
     joined = F.array_join(F.col("ids").cast("array<string>"), ",")
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2(joined, 256).alias("ids_sha256"), F.sha2(F.col("decoded"), 256).alias("decoded_sha256"))

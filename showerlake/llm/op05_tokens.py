@@ -14,7 +14,6 @@ from functools import lru_cache
 from itertools import repeat
 from math import log
 
-import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -111,10 +110,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
             columns = [pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.float64()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", "n_pretokens", "n_tokens", "log_prob"])
         c.seen.clear()
+        gc.enable()
         release_memory()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_pretokens long, n_tokens long, log_prob double")
 
 
 def op5_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
+    return count_tokens(table(spark, sf_dir, "documents"), VOCABULARY)

@@ -15,12 +15,11 @@ from itertools import combinations
 from math import sqrt
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold_bucket, table, unit_hash
+from .common import fold_bucket, release_memory, table, unit_hash
 
 #: The families of common language codes; any other code is a family of its own.
 FAMILIES = {
@@ -30,13 +29,25 @@ FAMILIES = {
 }
 #: Trigram buckets, training rows per language (in expectation, chosen by a hash of the id), SVM settings.
 BITS, PER_LANGUAGE, COST, ROUNDS = 12, 600, 4.0, 60
+#: Languages that a model can learn, and rows of all of them together.
+MOST_LANGUAGES, MOST_ROWS = 200, 24_000
 #: A prediction below this score is rejected by the pipeline stage.
 LEAST_SCORE = 0.05
 #: Robust standard deviations below its language's usual fit at which the fit alone takes a text to LEAST_SCORE,
 #: or as many as this share of the training texts exceeds where that is farther.
 FAR, FARTHEST = 6.0, 0.005
 
-_LETTER = re.compile(r"[^\W\d_]").search
+#: Texts that are judged by one matrix product.
+TOGETHER = 256
+
+_LETTERISH = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether some character has a Unicode category L; `re` alone would count signs such as one half."""
+    return any(m[0].isalpha() for m in _LETTERISH.finditer(text))
+
+
 _KEEP = np.full(256, 32, np.uint32)
 _KEEP[97:123] = np.arange(97, 123)
 _KEEP[128:] = np.arange(128, 256)
@@ -120,28 +131,40 @@ class LanguageModel:
             for a, b in combinations(found, 2):
                 rows = (lang == a) | (lang == b)
                 self.inner[a, b] = svm(x[rows], sign(lang[rows] == a))
-
-    def predict(self, text: str) -> tuple[str, float]:
-        """(language, score); `und` with score 0 for a text without a letter or a model without languages."""
-        if not self.families or not _LETTER(text):
-            return "und", 0.0
-        v = features(text)
+        stacked = lambda found: np.stack(found, 1) if found else np.zeros((len(features("")) + 1, 0), np.float32)
+        self.outer_matrix, self.inner_matrix = stacked(self.outer), stacked(list(self.inner.values()))
+
+    def predict(self, text: str | None) -> tuple[str, float]:
+        return self.predict_all([text])[0]
+
+    def predict_all(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        """(language, score) of each text; `und` with score 0 for null, a text without a letter or a model without languages."""
+        out: list[tuple[str, float]] = [("und", 0.0)] * len(texts)
+        some = [i for i, t in enumerate(texts) if self.families and t and has_letter(t)]
+        for at in range(0, len(some), TOGETHER):
+            part = some[at : at + TOGETHER]
+            x = np.stack([features(texts[i]) for i in part])
+            outer = x @ self.outer_matrix[:-1] + self.outer_matrix[-1]
+            inner = x @ self.inner_matrix[:-1] + self.inner_matrix[-1]
+            for i, v, first, second in zip(part, x, outer.tolist(), inner.tolist(), strict=True):
+                out[i] = self._judge(v, len(texts[i]), first, dict(zip(self.inner, second, strict=True)))
+        return out
+
+    def _judge(self, v: np.ndarray, size: int, margins: list[float], pairs: dict[tuple[str, str], float]) -> tuple[str, float]:
         family, score = self.families[0], 1.0
-        if self.outer:
-            margins = [float(v @ w[:-1] + w[-1]) for w in self.outer]
+        if margins:
             best = max(range(len(margins)), key=lambda i: margins[i])
             rest = max(m for i, m in enumerate(margins) if i != best)
             family, score = self.families[best], 1 / (1 + np.exp(-2 * (margins[best] - rest)))
         found = self.members[family]
         wins, sure = dict.fromkeys(found, 0.0), dict.fromkeys(found, 1.0)
         for a, b in combinations(found, 2):
-            w = self.inner[a, b]
-            p = float(1 / (1 + np.exp(-4 * float(v @ w[:-1] + w[-1]))))
+            p = float(1 / (1 + np.exp(-4 * pairs[a, b])))
             for n, q in ((a, p), (b, 1 - p)):
                 wins[n] += (q > 0.5) + 1e-3 * q
                 sure[n] = min(sure[n], q)
         lang = max(found, key=lambda n: (wins[n], n))
-        return lang, float(score) * sure[lang] * self.fit(lang, v, len(text))
+        return lang, float(score) * sure[lang] * self.fit(lang, v, size)
 
     def fit(self, lang: str, v: np.ndarray, size: int) -> float:
         """Near one for texts like those of the language, LEAST_SCORE at the limit of their deviations."""
@@ -151,17 +174,21 @@ class LanguageModel:
         return float(1 / (1 + (1 / LEAST_SCORE - 1) * np.exp(np.clip(3 * beyond, -50, 50))))
 
 
-def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> LanguageModel:
-    """Fit on about `per_language` rows of each language outside the held-out fold."""
+def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_rows: int = 1) -> LanguageModel:
+    """Fit on about `per_language` rows of each language outside the held-out fold.
+
+    Of languages with `least_rows` such rows, the MOST_LANGUAGES most frequent are learned, so that dirty labels
+    neither fill the driver nor the model.
+    """
     usable = docs.select("doc_id", "text", "lang").filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("doc_id").isNotNull() & (fold_bucket(F.col("doc_id"), 3) != 1))
-    counts = usable.groupBy("lang").count().collect()  # one row per language
-    share = F.lit(0.0)
-    for row in counts:
-        share = F.when(F.col("lang") == row["lang"], min(1.0, per_language / row["count"])).otherwise(share)
+    counts = usable.groupBy("lang").count().filter(F.col("count") >= least_rows).orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    per_language = min(per_language, MOST_ROWS // max(1, len(counts)))
+    chances = F.create_map(*(F.lit(x) for row in counts for x in (row["lang"], min(1.0, per_language / row["count"])))) if counts else None
+    share = F.coalesce(F.try_element_at(chances, F.col("lang")), F.lit(0.0)) if counts else F.lit(0.0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(i, features(t).astype(np.float16).tobytes(), g, len(t)) for i, t, g in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) if _LETTER(t)]
+            rows = [(i, features(t).astype(np.float16).tobytes(), g, len(t)) for i, t, g in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "v", "lang", "size"])
 
     chosen = usable.filter(unit_hash(9, F.col("doc_id")) < share).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
@@ -179,7 +206,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [model.predict(t or "") for t in batch.column(1).to_pylist()]
+            found = model.predict_all(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "lang_pred", "score"])
 
     out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
@@ -198,8 +225,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     model = train(docs)
 
-    @F.pandas_udf("boolean")
-    def known(texts: pd.Series) -> pd.Series:
-        return pd.Series([lang != "und" and score >= LEAST_SCORE for lang, score in (model.predict(t or "") for t in texts)], dtype=bool)
+    @F.arrow_udf("boolean")
+    def known(texts: pa.Array) -> pa.Array:
+        return pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in model.predict_all(texts.to_pylist())], pa.bool_())
 
     return docs.filter(known(F.col("text").cast("string")))

@@ -43,8 +43,8 @@ def splitter() -> re.Pattern:
 
 @lru_cache(maxsize=2)
 def ranks(path: str) -> dict[bytes, int]:
-    """Token bytes -> id of a rank file (lines of base64 and number)."""
-    with open(path, "rb") as lines:
+    """Token bytes -> id of a rank file (lines of base64 and number), or of the public vocabulary of that name."""
+    with open(path if "/" in path else public_tokenizers.path(path), "rb") as lines:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in lines if line.strip())}
 
 
