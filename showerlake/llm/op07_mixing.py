@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, table, unit_hash
+from .common import Scratch, fresh, table, unit_hash
 
 MARGINS = ["source", "lang", "topic"]
 #: Default targets are the observed shares to this power, made to sum to one.
@@ -169,12 +169,18 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"), Scratch(spark, "op7"))
 
 
-def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the draw keeps; columns as they came, one pass for the cells and one to sample."""
-    cells, small = cell_probabilities(measured(docs), Scratch(spark, "mix"))
-    cells = cells.select(*(F.col(m).alias(f"__{m}") for m in MARGINS), F.col("prob").alias("__prob"))
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str, targets: list[dict] | None = None) -> DataFrame:
+    """The documents that the draw keeps; columns as they came, whatever their names; one pass for the cells and one to sample.
+
+    `targets` are as for mix(). Null or empty texts have no tokens and the probability of their cell; rows that
+    share an id share the draw within their cell; very long texts count whole; an empty table gives an empty result.
+    """
+    cells, small = cell_probabilities(measured(docs), Scratch(spark, "mix"), targets)
+    names = fresh(docs, *MARGINS, "prob")
+    cells = cells.select(*MARGINS, "prob").toDF(*names)
     none = F.lit("\u0000none")
-    text = F.col("text").cast("string")
-    keyed = docs.withColumns({"__s": F.coalesce(F.col("source").cast("string"), none), "__l": F.coalesce(F.col("lang").cast("string"), none), "__t": genre(text, n_tokens(text))})
-    kept = keyed.join(F.broadcast(cells) if small else cells, (F.col("__s") == F.col("__source")) & (F.col("__l") == F.col("__lang")) & (F.col("__t") == F.col("__topic")))
-    return kept.filter(unit_hash(SEED, F.col("doc_id")) < F.col("__prob")).select(*(kept[c] for c in docs.columns))
+    text = docs["text"].cast("string")
+    keys = [F.coalesce(docs["source"].cast("string"), none), F.coalesce(docs["lang"].cast("string"), none), genre(text, n_tokens(text))]
+    same = (keys[0] == F.col(names[0])) & (keys[1] == F.col(names[1])) & (keys[2] == F.col(names[2]))
+    kept = docs.join(F.broadcast(cells) if small else cells, same)
+    return kept.filter(unit_hash(SEED, docs["doc_id"]) < F.col(names[3])).select(*(docs[c] for c in docs.columns))

@@ -191,7 +191,8 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, least_rows: int = 1
             rows = [(i, features(t).astype(np.float16).tobytes(), g, len(t)) for i, t, g in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True) if has_letter(t)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.string()), pa.array([r[3] for r in rows], pa.int64())], ["doc_id", "v", "lang", "size"])
 
-    chosen = usable.filter(unit_hash(9, F.col("doc_id")) < share).select(F.col("doc_id").cast("long").alias("doc_id"), "text", "lang")
+    chosen = usable.filter(unit_hash(9, F.col("doc_id")) < share).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min(F.struct("lang", "text")).alias("one"))
+    chosen = chosen.select("doc_id", "one.text", "one.lang")  # a repeated id counts once, so that it cannot pass the bound
     rows = sorted((r["doc_id"], r["lang"], bytes(r["v"]), r["size"]) for r in chosen.mapInArrow(run, "doc_id long, v binary, lang string, size long").collect())
     x = np.frombuffer(b"".join(r[2] for r in rows), np.float16).reshape(-1, 1 << BITS).astype(np.float32)
     return LanguageModel(x, [r[1] for r in rows], [r[3] for r in rows])
@@ -201,7 +202,8 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row, from the whole text alone.
 
     A null text or one without a letter is `und` with score 0; ties between languages go to the
-    alphabetically last; repeated rows get the same answer; other columns are not read.
+    alphabetically last; repeated rows get the same answer; very long texts are read whole; an
+    empty table gives an empty result; other columns are not read, so their names cannot clash.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -219,9 +221,10 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language go: no letter at all, or a score below LEAST_SCORE.
+    """Documents without a recognisable language go: null, no letter at all, or a score below LEAST_SCORE.
 
-    One narrow pass; columns as they came.
+    One narrow pass over whole texts; columns as they came, whatever their names; repeated rows and ids are
+    judged by their own text; an empty table gives an empty result.
     """
     model = train(docs)
 
@@ -229,4 +232,4 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     def known(texts: pa.Array) -> pa.Array:
         return pa.array([lang != "und" and score >= LEAST_SCORE for lang, score in model.predict_all(texts.to_pylist())], pa.bool_())
 
-    return docs.filter(known(F.col("text").cast("string")))
+    return docs.filter(known(docs["text"].cast("string")))
