@@ -2,9 +2,8 @@
 
 A fingerprint is cut into five bit ranges. Two fingerprints at most three bits apart agree on at least
 two of the ranges, so each of the ten pairs of ranges is a bucket key of 25 or 26 bits and no link is
-lost. Inside a bucket the candidates stand as vertical bit planes: bit b of all lanes is one machine
-word per 64 lanes, distances of all lanes advance together through carry-save counters (ones, twos,
-over), and a block of lanes is abandoned as soon as each of its distances has passed the radius.
+lost. Inside a bucket the candidates stand as vertical bit planes whose distances advance together through
+carry-save counters, and words of lanes are abandoned once all are beyond the radius (bitslice.py).
 """
 
 from __future__ import annotations
@@ -18,11 +17,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, release_memory, table, without
-from .components import Forest, connected_components
+from .bitslice import bucket_edges, bucket_links
+from .common import Scratch, join_facts, release_memory, table, text_mark, without
+from .components import connected_components
 from .shingles import similar_groups
 
-RADIUS = 3
+#: Two counters: fingerprints link at 3 or fewer differing bits.
 SHINGLE = 3
 SEED = 42
 #: Bit ranges (shift, width) of a fingerprint.
@@ -31,8 +31,6 @@ RANGES = [(0, 13), (13, 13), (26, 13), (39, 13), (52, 12)]
 CHUNK = 2048
 #: Shingles turned to bits at once, to bound the memory of very long texts.
 SPAN = 1 << 16
-#: Lanes that are abandoned together.
-LANES = 4096
 
 
 def fingerprint(data: bytes, width: int = SHINGLE) -> int:
@@ -65,90 +63,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(_fingerprint_batches, "doc_id long, fp long")
 
 
-def planes_of(prints: np.ndarray) -> np.ndarray:
-    """Bit planes of a vector of fingerprints: row b holds bit b of all lanes, 64 lanes to a word."""
-    n = len(prints)
-    bits = np.unpackbits(prints.astype("<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    padded = np.zeros((64, -(-n // 64) * 64), np.uint8)
-    padded[:, :n] = bits.T
-    return np.packbits(padded, axis=1, bitorder="little").view(np.uint64)
-
-
-def within_radius(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Lanes i with at most RADIUS differing bits between left[i] and right[i].
-
-    Carry-save counting: `ones` and `twos` are the two low counter bits of all lanes, `over` sticks once
-    a lane's count reaches four. Every eight planes, blocks whose lanes are all over are abandoned.
-    """
-    n, found = len(left), []
-    for at in range(0, n, LANES * 64):
-        diff = planes_of(left[at : at + LANES * 64] ^ right[at : at + LANES * 64])
-        words = diff.shape[1]
-        tail = np.zeros(words, np.uint64)
-        if (rest := min(n - at, LANES * 64) % 64) != 0:
-            tail[-1] = np.uint64(0xFFFFFFFFFFFFFFFF) << np.uint64(rest)  # lanes past the end start abandoned
-        live, ones, twos, over = np.arange(words), np.zeros(words, np.uint64), np.zeros(words, np.uint64), tail
-        full = np.uint64(0xFFFFFFFFFFFFFFFF)
-        for b in range(64):
-            x = diff[b, live]
-            carry = ones & x
-            ones = ones ^ x
-            over = over | (twos & carry)
-            twos = twos ^ carry
-            if b % 8 == 7 and (kept := over != full).mean() < 0.7:
-                live, ones, twos, over = live[kept], ones[kept], twos[kept], over[kept]
-                if not len(live):
-                    break
-        if len(live):
-            hits = np.unpackbits((~over).view(np.uint8).reshape(len(live), 8), axis=1, bitorder="little")
-            word, bit = np.nonzero(hits)
-            found.append(at + live[word] * 64 + bit)
-    return np.concatenate(found) if found else np.zeros(0, np.int64)
-
-
-def bucket_links(keys: np.ndarray, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning star (member, root position) of the links among rows with equal keys; keys must be sorted.
-
-    All buckets are compared at once: lane i holds rows i and i+d for d = 1, 2, ... while buckets are
-    that long. Links join a union-find straight away, so no list of all pairs exists.
-    """
-    n = len(keys)
-    new = np.r_[True, keys[1:] != keys[:-1]]
-    first = np.flatnonzero(new)
-    end = np.repeat(np.r_[first[1:], n], np.diff(np.r_[first, n]))
-    forest, at, d = Forest(n), np.arange(n), 1
-    while len(at := at[at + d < end[at]]):
-        hit = at[within_radius(prints[at], prints[at + d])]
-        if len(hit):
-            forest.join(hit, hit + d)
-        d += 1
-    moved = np.flatnonzero(forest.flatten() != np.arange(n))
-    return moved, forest.root[moved]
-
-
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Edges between class representatives from rows (bucket, fp, rep) sorted by bucket.
-
-    Whole buckets go through as they complete; only the last, unfinished one is carried over.
-    """
-    held: list[np.ndarray] | None = None
-
-    def links(rows: list[np.ndarray]) -> pa.RecordBatch:
-        a, b = bucket_links(rows[0], rows[1])
-        return pa.RecordBatch.from_arrays([pa.array(rows[2][a]), pa.array(rows[2][b])], ["a", "b"])
-
-    for batch in batches:
-        rows = [np.asarray(batch.column(i)) for i in range(3)]
-        if held is not None:
-            rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-        if not len(rows[0]):
-            continue
-        cut = int(np.searchsorted(rows[0], rows[0][-1]))
-        if cut:
-            yield links([x[:cut] for x in rows])
-        held = [x[cut:] for x in rows]
-    if held is not None and len(held[0]):
-        yield links(held)
+    """Edges between class representatives from rows (bucket, fp, rep) sorted by bucket."""
+    columns = lambda batch: [np.asarray(batch.column(i)) for i in range(3)]
+    return bucket_edges(lambda rows: bucket_links(rows[0], rows[1]), columns, 2)(batches)
 
 
 def candidate_rows(classes: DataFrame) -> DataFrame:
@@ -178,11 +96,11 @@ def near_duplicates(docs: DataFrame, scratch: Scratch) -> DataFrame:
     comparison, so a group of copies of any size is one lane. Nothing is capped.
     """
     prints = scratch.keep(fingerprints(docs))
-    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    classes = scratch.keep(prints.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
     rows = candidate_rows(classes).repartition("bucket").sortWithinPartitions("bucket")
     found = connected_components(rows.mapInArrow(_edges, "a long, b long"), scratch)
-    named = classes.join(found, F.col("rep") == F.col("node"), "left").select(F.col("fp").alias("f"), F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, F.col("fp") == F.col("f")).select("doc_id", "fp", "component_id")
+    named = scratch.keep(classes.join(found, F.col("rep") == F.col("node"), "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    return join_facts(prints, named, ["fp"], "n", prints.count()).select("doc_id", "fp", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,10 +109,14 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the row with the smallest id stays; columns as they came.
+    """Of each group of near-duplicates the row with the smallest id stays; columns as they came, whatever their names.
 
-    Here texts are alike from a Jaccard similarity of 0.8 of their five-word shingles; the three-word
-    shingles and three bits above belong to the query op1_simhash.
+    Here texts are alike from a Jaccard similarity of 0.8 of their five-word shingles (shingles.py, on wider
+    fingerprints); the three-word shingles and three bits above belong to the query op1_simhash. Null texts
+    and texts without words are alike. Rows are dropped by id and text, so of two unlike texts under one id
+    both stay, of alike ones the one whose text has the smaller hash; rows equal in both stay together. A
+    null id yields to any other. An empty table gives an empty result; very long texts are compared whole.
     """
     scratch = Scratch(spark, "near")
-    return without(docs, similar_groups(docs, scratch).filter("doc_id != component_id").select("doc_id"), [], scratch)
+    gone = similar_groups(docs, scratch).filter("not kept").select("doc_id", "mark")
+    return without(docs, gone, [text_mark(docs["text"])], scratch)

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ascii_lower, is_small, join_facts, table, without
+from .common import Scratch, ascii_lower, is_small, join_facts, table, text_mark, without
 
 #: Keys that a bucket holds before it splits, doublings beyond the first directory, and the deepest one (2**DEEPEST slots).
 CAPACITY, DOUBLINGS, DEEPEST = 4096, 8, 40
@@ -54,8 +54,8 @@ def named(norm: Column) -> tuple[Column, Column, Column]:
 
 
 def _with_names(docs: DataFrame) -> DataFrame:
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), ascii_lower(F.col("text")).alias("norm"))
-    return text.select("doc_id", "norm", *(c.alias(n) for c, n in zip(named(F.col("norm")), NAME, strict=True)))
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_mark(F.col("text")).alias("mark"), ascii_lower(F.col("text")).alias("norm"))
+    return text.select("doc_id", "mark", "norm", *(c.alias(n) for c, n in zip(named(F.col("norm")), NAME, strict=True)))
 
 
 def _merged(pages: DataFrame, by: list[str]) -> DataFrame:
@@ -70,25 +70,29 @@ def _pages(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def build_index(docs: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
     """(rows, index): the compact row table, and (bucket, key, size, digest, keep_id, group_size), sorted within whole buckets."""
-    rows = scratch.keep(_with_names(docs).select("doc_id", *NAME))
+    rows = scratch.keep(_with_names(docs).select("doc_id", "mark", *NAME))
     start = first_depth(rows.count())
     slots = scratch.keep(directory(rows.select("key").distinct(), start))
     placed = _pages(rows, NAME).withColumn("slot", _prefix(F.col("key"), start + DOUBLINGS)).join(F.broadcast(slots) if is_small(slots) else slots, "slot")
     return rows, scratch.keep(_merged(placed, NAME).sortWithinPartitions("bucket", "key"))
 
 
-def chains(docs: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
+def chains(docs: DataFrame, rows: DataFrame, index: DataFrame, scratch: Scratch) -> DataFrame:
     """(key, size, digest, norm, keep_id, group_size): a link for each different text behind an entry of several rows.
 
-    Only the texts of such entries are read again; they go to the owner of their bucket as pages.
+    Only the texts of such entries, known by the hash of the text as it came, are read and lower-cased
+    again; they go to the owner of their bucket as pages.
     """
-    several = scratch.keep(index.filter("group_size > 1").select("bucket", *NAME))
-    texts = _with_names(docs).join(F.broadcast(several) if is_small(several) else several, NAME)
+    several = scratch.keep(index.filter("group_size > 1").select("bucket", *NAME, "group_size"))
+    marks = scratch.keep(join_facts(rows, several, NAME, "group_size", rows.count()).select(F.col("mark").alias("__mark")).distinct())
+    back = docs.select("doc_id", "text").join(F.broadcast(marks) if is_small(marks) else marks, text_mark(F.col("text")) == F.col("__mark"), "left_semi")
+    home = several.drop("group_size")
+    texts = _with_names(back).join(F.broadcast(home) if is_small(home) else home, NAME)
     return scratch.keep(_merged(_pages(texts, ["bucket", *NAME, "norm"]), [*NAME, "norm"]).drop("bucket"))
 
 
 def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, digest) of every row; texts equal after lower-casing A-Z are one group.
+    """(doc_id, mark, keep_id, group_size, kept, digest) of every row; texts equal after lower-casing A-Z are one group.
 
     Null counts as empty text and is a group like any other. The largest id stays; rows that share
     both id and text share the decision and all count; rows that share an id with another text are
@@ -97,10 +101,10 @@ def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
     key, length and digest, they are links of one chain and groups of their own.
     """
     rows, index = build_index(docs, scratch)
-    links = chains(docs, index, scratch)
+    links = chains(docs, rows, index, scratch)
     facts = links.select(*NAME, "keep_id", "group_size")
     clash = scratch.keep(links.groupBy(*NAME).agg(F.count("*").alias("links"), F.sum("group_size").alias("of")).filter("links > 1"))
-    out = ["doc_id", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest"]
+    out = ["doc_id", "mark", F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), "digest"]
     total = rows.count()
     if clash.isEmpty():
         found = join_facts(rows, facts, NAME, "group_size", total, "left").select(*out)
@@ -108,12 +112,12 @@ def exact_groups(docs: DataFrame, scratch: Scratch) -> DataFrame:
         plain = join_facts(rows.join(clash, NAME, "left_anti"), facts.join(clash, NAME, "left_anti"), NAME, "group_size", total, "left").select(*out)
         odd = _with_names(docs).join(F.broadcast(clash.select(*NAME)) if is_small(clash) else clash.select(*NAME), NAME, "left_semi")
         found = plain.union(join_facts(odd, links, [*NAME, "norm"], "group_size", total).select(*out))
-    return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
+    return found.select("doc_id", "mark", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "digest")
 
 
 def op10_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_groups(table(spark, sf_dir, "documents"), Scratch(spark, "op10"))
-    return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+    return found.select("doc_id", "mark", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 SQL = """
@@ -135,5 +139,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     cannot arise otherwise, very long texts are compared whole, and an empty table gives an empty result.
     """
     scratch = Scratch(spark, "exact")
-    gone = exact_groups(docs, scratch).filter("not kept").select("doc_id", "digest")
-    return without(docs, gone, [named(ascii_lower(docs["text"]))[2]], scratch)
+    gone = exact_groups(docs, scratch).filter("not kept").select("doc_id", "mark")
+    return without(docs, gone, [text_mark(docs["text"])], scratch)
