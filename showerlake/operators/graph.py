@@ -12,6 +12,23 @@ def _level(front: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
     return front.join(edges.withColumnRenamed("parent", "node"), [*keys, "node"]).select(*keys, "start", F.col("child").alias("node")).distinct()
 
 
+def walk(starts: DataFrame, edges: DataFrame, keys: list[str], keep, limit: int = 1000) -> DataFrame:
+    """(keys, start, node, depth) by every depth at which a node is reached, to the end of the graph.
+
+    `keep` stores each level, so none is computed twice; a graph that still grows after `limit` levels (a
+    cycle) is an error.
+    """
+    edges = keep(edges)
+    front = keep(starts.select(*keys, "start", F.col("start").alias("node")).distinct())
+    out = front.withColumn("depth", F.lit(0))
+    for d in range(1, limit + 1):
+        front = keep(_level(front, edges, keys))
+        if front.isEmpty():
+            return out
+        out = out.union(front.withColumn("depth", F.lit(d)))
+    raise RuntimeError(f"more than {limit} levels")
+
+
 def descendants(starts: DataFrame, edges: DataFrame, depth: int, keys: list[str] = KEYS) -> DataFrame:
     """(keys, start, node, depth) of all nodes reachable in at most `depth` steps, starts included.
 
@@ -52,10 +69,10 @@ def roots(nodes: DataFrame, edges: DataFrame, keys: list[str] = KEYS) -> DataFra
 def ranks(reached: DataFrame, edges: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """(keys, node, rank): longest path from any start; end nodes get the largest rank of their key group."""
     longest = reached.groupBy(*keys, "node").agg(F.max("depth").alias("depth"))
-    most = longest.groupBy(*keys).agg(F.max("depth").alias("most"))
+    most = longest.groupBy(*keys).agg(F.max("depth").alias("most"))  # without keys a single row, which may be broadcast
     inner = edges.select(*keys, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
     joined = longest.join(inner, [*keys, "node"], "left")
-    return joined.join(most, keys).select(*keys, "node", F.when(F.col("inner"), F.col("depth")).otherwise(F.col("most")).alias("rank"))
+    return (joined.join(most, keys) if keys else joined.crossJoin(F.broadcast(most))).select(*keys, "node", F.when(F.col("inner"), F.col("depth")).otherwise(F.col("most")).alias("rank"))
 
 
 def last_of_kind(nodes: DataFrame, edges: DataFrame, kind: str, keys: list[str] = KEYS) -> DataFrame:
@@ -66,7 +83,10 @@ def last_of_kind(nodes: DataFrame, edges: DataFrame, kind: str, keys: list[str]
 
 
 def last_instance(nodes: DataFrame, edges: DataFrame, kind: str, steps: int, keys: list[str] = KEYS) -> DataFrame:
-    """(keys, node, last): follow the first child of equal kind to the end; pointer doubling, so 2**steps levels."""
+    """(keys, node, last): follow the first child of equal kind to the end by pointer doubling.
+
+    A chain of over 2**steps links (or a cycle) is an error when the row is computed, not a wrong end.
+    """
     child = nodes.select(*keys, F.col("node").alias("child"), F.col(kind).alias("ck"))
     mine = nodes.select(*keys, F.col("node").alias("parent"), F.col(kind).alias("pk"))
     first = edges.join(child, [*keys, "child"]).join(mine, [*keys, "parent"]).where("ck = pk").groupBy(*keys, "parent").agg(F.min("child").alias("next"))
@@ -74,7 +94,9 @@ def last_instance(nodes: DataFrame, edges: DataFrame, kind: str, steps: int, key
     for _ in range(steps):
         further = jump.select(*keys, F.col("node").alias("last"), F.col("last").alias("after"))
         jump = jump.join(further, [*keys, "last"], "left").select(*keys, "node", F.coalesce("after", "last").alias("last"))
-    return jump
+    goes_on = first.select(*keys, F.col("parent").alias("last"), F.lit(True).alias("goes_on"))
+    ended = jump.join(goes_on, [*keys, "last"], "left")
+    return ended.select(*keys, "node", F.when(F.col("goes_on"), F.raise_error(F.lit(f"a chain of over {2**steps} links")).cast(jump.schema["last"].dataType)).otherwise(F.col("last")).alias("last"))
 
 
 def shared_ends(ends: DataFrame, kinds: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -41,14 +41,14 @@ def marry(left: DataFrame, right: DataFrame, exact: list[str], close: list[str],
     Columns in `exact` must be equal, those in `close` within rtol; `keep_right` come from the right side.
     """
     r = right.select("event_id", "idx", *(F.col(c).alias(f"__{c}") for c in [*exact, *close]), *keep_right)
-    both = left.join(r, ["event_id", "idx"])
-    same = F.lit(True)
+    both = left.withColumn("__left", F.lit(True)).join(r.withColumn("__right", F.lit(True)), ["event_id", "idx"], "full")
+    same = F.col("__left").isNotNull() & F.col("__right").isNotNull()  # a particle without a partner is a disagreement too
     for c in exact:
         same = same & F.col(c).eqNullSafe(F.col(f"__{c}"))
     for c in close:
         same = same & (F.abs(F.col(c) - F.col(f"__{c}")) <= rtol * F.abs(F.col(f"__{c}")) + 1e-8)
-    both = both.withColumn("married", F.when(same, True).otherwise(F.raise_error(F.lit("the two particle lists disagree")).cast("boolean")))
-    return both.drop(*(f"__{c}" for c in [*exact, *close]))
+    both = both.withColumn("married", F.when(F.coalesce(same, F.lit(False)), True).otherwise(F.raise_error(F.lit("the two particle lists disagree")).cast("boolean")))
+    return both.drop("__left", "__right", *(f"__{c}" for c in [*exact, *close]))
 
 
 def match_events(left: DataFrame, right: DataFrame, ints: list[str], floats: list[str]) -> DataFrame:
@@ -68,6 +68,25 @@ def match_events(left: DataFrame, right: DataFrame, ints: list[str], floats: lis
     return left.select(F.col("row").alias("row_left")).join(best.select(F.col("row").alias("row_left"), "row_right"), "row_left", "left").select("row_left", F.coalesce("row_right", F.lit(-1)).alias("row_right"))
 
 
+def match_greedily(left: DataFrame, right: DataFrame, ints: list[str], floats: list[str], keep, limit: int = 200) -> DataFrame:
+    """(row_left, row_right) as match_events, but a row that loses its partner to a closer one takes its next choice.
+
+    Rounds of mutual best matches among the rows still free, each stored by `keep`, until none is left: every
+    round matches at least the closest free pair of each event, so the number of rounds is bounded by the rows
+    of an event; over `limit` rounds are an error.
+    """
+    spare, taken, done = keep(left), keep(right), None
+    for _ in range(limit):
+        new = keep(match_events(spare, taken, ints, floats).where("row_right >= 0"))
+        if new.isEmpty():
+            rest = spare.select(F.col("row").alias("row_left"), F.lit(-1).cast("long").alias("row_right"))
+            return rest if done is None else done.union(rest)
+        done = new if done is None else keep(done.union(new))
+        spare = keep(spare.join(new.select(F.col("row_left").alias("row")), "row", "left_anti"))
+        taken = keep(taken.join(new.select(F.col("row_right").alias("row")), "row", "left_anti"))
+    raise RuntimeError(f"matching has not ended after {limit} rounds")
+
+
 def union_datasets(*frames: DataFrame) -> DataFrame:
     """Column union by name; missing columns are null."""
     out = frames[0]

@@ -88,11 +88,19 @@ def affinity(d2: Column, kind: str, exponent: float = 2.0, sigma: float = 1.0, l
 
 
 def widths(points: DataFrame, linear: str, cyclic: str, group: list[str]) -> DataFrame:
-    """Largest pair distance per group after centring the angle on its circular mean; under two points 0."""
+    """Largest pair distance per group after centring the angle on its circular mean; under two points 0.
+
+    A point opposite the centre (within 1e-9) lies at both ends of the range, and the larger distance counts:
+    rounding does not decide on which side it falls.
+    """
     centre = points.groupBy(*group).agg(F.atan2(F.sum(F.sin(cyclic)), F.sum(F.cos(cyclic))).alias("__c"))
     moved = points.join(centre, group).select(*group, F.col(linear).alias("__l"), K.confine_angle(F.col(cyclic) - F.col("__c")).alias("__p"))
     # the extreme distance is over few points of a group: collect them next to each other, no self-join
-    lists = moved.groupBy(*group).agg(F.collect_list(F.struct("__l", "__p")).alias("pts"))
+    place = F.struct("__l", "__p")
+    ends = F.array(F.struct("__l", F.lit(-K.PI).alias("__p")), F.struct("__l", F.lit(K.PI).alias("__p")))
+    places = F.when(F.abs("__p") > K.PI - 1e-9, ends).otherwise(F.array(place))
+    lists = moved.groupBy(*group).agg(F.collect_list(places).alias("pts"))
     gap = lambda a, b: F.sqrt((a["__l"] - b["__l"]) * (a["__l"] - b["__l"]) + (a["__p"] - b["__p"]) * (a["__p"] - b["__p"]))
-    far = F.array_max(F.transform("pts", lambda a: F.array_max(F.transform("pts", lambda b: gap(a, b)))))
+    most = lambda a, b: F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: gap(x, y)))))
+    far = F.array_max(F.transform("pts", lambda a, i: F.array_max(F.transform("pts", lambda b, j: F.when(i < j, most(a, b)).otherwise(0.0)))))
     return lists.select(*group, far.alias("width"))

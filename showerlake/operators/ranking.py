@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 
 def ordered(jets: DataFrame, variable: str) -> DataFrame:
     """Place of each jet in ascending order of a variable within its event."""
@@ -17,8 +19,7 @@ def quality_width(masses: DataFrame, group: str, fraction: float) -> DataFrame:
     The group's sizes are counted before the window, so each mass looks ahead by a fixed number of places.
     """
     n = masses.groupBy(group).agg(F.count("*").alias("n"))
-    w = Window.partitionBy(group).orderBy("mass", "event_id")
-    placed = masses.select(group, "mass", F.row_number().over(w).alias("r"))
+    placed = running_sums(masses.select(group, "mass", "event_id", F.lit(1).alias("one")), [group], ["mass", "event_id"], {"r": "one"}).select(group, "mass", "r")
     want = n.select(group, "n", F.greatest(F.lit(2), F.least(F.ceil(F.col("n") * fraction), F.col("n"))).cast("int").alias("target"))
     low = placed.join(want, group)
     high = placed.select(group, F.col("r").alias("hr"), F.col("mass").alias("hm"))
@@ -30,10 +31,13 @@ def quality_width(masses: DataFrame, group: str, fraction: float) -> DataFrame:
 def quality_fraction(masses: DataFrame, group: str, mass: float, multiplier: float) -> DataFrame:
     """Events per event in the fullest half-open window [m, m + multiplier * mass) that starts at a mass."""
     width = float(multiplier * mass)
-    over = f"over (partition by {group} order by mass range between"
-    inside = F.expr(f"count(*) {over} current row and {width}D following) - count(*) {over} {width}D following and {width}D following)")
-    counted = masses.select(group, inside.alias("inside"))
-    return counted.groupBy(group).agg((F.count("*") / F.max("inside")).alias("events_per_window"))
+    values = masses.groupBy(group, "mass").agg(F.count("*").alias("n"))
+    # a window's ends are marks between the masses, which sort before a mass of the same value
+    marks = values.select(group, "mass", F.explode(F.array(F.struct(F.col("mass").alias("at"), F.lit(-1).alias("sign")), F.struct((F.col("mass") + width).alias("at"), F.lit(1).alias("sign")))).alias("e"))
+    rows = values.select(group, F.col("mass").alias("at"), F.lit(2).alias("kind"), "mass", "n").union(marks.select(group, "e.at", "e.sign", "mass", F.lit(0)))
+    upto = running_sums(rows, [group], ["at", "kind", "mass"], {"upto": "n"}).where("kind < 2")
+    inside = upto.groupBy(group, "mass").agg(F.sum(F.col("kind") * F.col("upto")).alias("inside"))
+    return masses.groupBy(group).agg(F.count("*").alias("n")).join(inside.groupBy(group).agg(F.max("inside").alias("most")), group).select(group, (F.col("n") / F.col("most")).alias("events_per_window"))
 
 
 def gap_groups(rows: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:

@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import running_sums
+
 
 def rand_index(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
     """Adjusted Rand index of two labellings per key, from the contingency table; 1 where both are trivial."""
@@ -25,8 +27,7 @@ def rand_index(rows: DataFrame, a: str, b: str, keys: list[str]) -> DataFrame:
 def average_ranks(rows: DataFrame, column: str, name: str, by: list[str]) -> DataFrame:
     """Rank with ties averaged. Ranks come from counts of distinct values, so a common value is one row."""
     values = rows.groupBy(*by, column).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by).orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.select(*by, column, (F.sum("__n").over(w) - (F.col("__n") - 1) / 2.0).alias(name))
+    ranked = running_sums(values, by, [column], {"__upto": "__n"}).select(*by, column, (F.col("__upto") - (F.col("__n") - 1) / 2.0).alias(name))
     return rows.join(ranked, [*by, column])
 
 
@@ -47,8 +48,7 @@ def roc_auc(rows: DataFrame, score: str, label: str, by: list[str]) -> DataFrame
 def kolmogorov_smirnov(rows: DataFrame, value: str, side: str, by: list[str]) -> DataFrame:
     """Largest gap between the two cumulative distributions; `side` is 0 or 1."""
     counts = rows.groupBy(*by, value).agg(F.count(F.when(F.col(side) == 0, 1)).alias("a"), F.count(F.when(F.col(side) == 1, 1)).alias("b"))
-    w = Window.partitionBy(*by).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    running = counts.select(*by, F.sum("a").over(w).alias("ca"), F.sum("b").over(w).alias("cb"))
+    running = running_sums(counts, by, [value], {"ca": "a", "cb": "b"}).select(*by, "ca", "cb")
     totals = counts.groupBy(*by).agg(F.sum("a").alias("na"), F.sum("b").alias("nb"))
     return running.join(totals, by).groupBy(*by).agg(F.max(F.abs(F.col("ca") / F.col("na") - F.col("cb") / F.col("nb"))).alias("ks"))
 

@@ -5,46 +5,46 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import graph, joins
+from ..session import keeper
 from ..sources.particles import EDGES_SQL, edges, particles, table
 from ..sources.particles import PARTICLES_SQL as P
 from .registry import query, r
 
 WALK_SQL = EDGES_SQL + """, walk AS (
-  SELECT s.start, s.start AS node, 0 AS depth FROM (SELECT 2000000000000 + n_nationkey AS start FROM nation WHERE n_regionkey < 2) s
+  SELECT s.start, s.start AS node, 0 AS depth FROM (SELECT 2000000000000 + n_nationkey AS start FROM nation) s
   UNION ALL SELECT w.start, e.child, w.depth + 1 FROM walk w JOIN edges e ON e.parent = w.node
 )"""
 
 
 def _graph(spark, d):
-    e = edges(spark, d).withColumn("g", F.lit(0))
-    starts = table(spark, d, "nation").where("n_regionkey < 2").select(F.lit(0).alias("g"), (F.lit(2 * 10**12) + F.col("n_nationkey").cast("long")).alias("start"))
-    return starts, e
+    """All nations as starts, and the whole graph; it is one, so the walks have no keys."""
+    return table(spark, d, "nation").select((F.lit(2 * 10**12) + F.col("n_nationkey").cast("long")).alias("start")), edges(spark, d)
 
 
 @query("g_leaves", f"WITH RECURSIVE {WALK_SQL} SELECT DISTINCT start, node FROM walk WHERE node NOT IN (SELECT parent FROM edges)")
 def g_leaves(spark, d):
     starts, e = _graph(spark, d)
-    return graph.leaves(graph.descendants(starts, e, 3, ["g"]), e, ["g"]).select("start", "node")
+    return graph.leaves(graph.walk(starts, e, [], keeper(spark)), e, []).select("start", "node")
 
 
 @query("g_ranks", f"""WITH RECURSIVE {WALK_SQL}, l AS (SELECT node, max(depth) AS depth FROM walk GROUP BY node)
 SELECT node, CASE WHEN node IN (SELECT parent FROM edges) THEN depth ELSE max(depth) OVER () END AS rank FROM l""")
 def g_ranks(spark, d):
     starts, e = _graph(spark, d)
-    return graph.ranks(graph.descendants(starts, e, 3, ["g"]), e, ["g"]).select("node", "rank")
+    return graph.ranks(graph.walk(starts, e, [], keeper(spark)), e, []).select("node", "rank")
 
 
 @query("g_roots", f"WITH {EDGES_SQL}, n AS (SELECT parent AS node FROM edges UNION SELECT child FROM edges) SELECT node FROM n WHERE node NOT IN (SELECT child FROM edges)")
 def g_roots(spark, d):
     e = _graph(spark, d)[1]
-    nodes = e.select("g", F.col("parent").alias("node")).union(e.select("g", "child")).distinct()
-    return graph.roots(nodes, e, ["g"]).select("node")
+    nodes = e.select(F.col("parent").alias("node")).union(e.select("child")).distinct()
+    return graph.roots(nodes, e, []).select("node")
 
 
 @query("g_upper_layers", f"WITH RECURSIVE {WALK_SQL} SELECT start, node, min(depth) AS depth FROM walk WHERE depth <= 1 GROUP BY ALL")
 def g_upper_layers(spark, d):
     starts, e = _graph(spark, d)
-    return graph.descendants(starts, e, 1, ["g"]).groupBy("start", "node").agg(F.min("depth").alias("depth"))
+    return graph.descendants(starts, e, 1, []).groupBy("start", "node").agg(F.min("depth").alias("depth"))
 
 
 CHAIN_SQL = P + ", e AS (SELECT event_id, idx AS parent, idx + 1 AS child FROM particles WHERE (event_id, idx + 1) IN (SELECT (event_id, idx) FROM particles))"

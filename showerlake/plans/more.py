@@ -8,6 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import clustering, graph, masses, pairs, stats, tags, trees, truth
+from ..operators.ranges import running_sums
 from ..session import keeper, shared_folder
 from ..sources import catalog, text
 from ..sources.particles import PARTICLES_SQL as P
@@ -75,7 +76,7 @@ def a_compared(spark, d):
 @query("a_descendant_sums", f"""WITH RECURSIVE {WALK_SQL} SELECT w.start, count(*) AS n, round(sum(p.pt), 2) AS pt FROM walk w JOIN particles p ON w.node = 5000000000000 + p.event_id * 100 + p.idx GROUP BY 1""")
 def a_descendant_sums(spark, d):
     starts, e = _graph(spark, d)
-    reached = graph.descendants(starts, e, 3, ["g"]).select("start", "node").distinct()
+    reached = graph.walk(starts, e, [], keeper(spark)).select("start", "node").distinct()
     p = particles(spark, d).select((F.lit(5 * 10**12) + F.col("event_id") * 100 + F.col("idx")).alias("node"), "pt")
     return reached.join(p, "node").groupBy("start").agg(F.count("*").alias("n"), r(F.sum("pt"), 2).alias("pt"))
 
@@ -184,8 +185,9 @@ def g_tree_joins(spark, d):
     return trees.joins_walked(clustering.generalised_kt(inputs(spark, d), 0.8, 0.0))
 
 
-@query("p_subsample", """WITH h AS (SELECT event_type AS g, value, user_id % 2 AS side FROM events), m AS (SELECT g, avg(value) FILTER (side = 0) AS a, avg(value) FILTER (side = 1) AS b, avg(value) AS c FROM h GROUP BY g) SELECT g, round(abs(a - b) / c, 5) AS dissimilarity FROM m""")
-def p_subsample(spark, d):
+@query("p_mean_gap", """WITH h AS (SELECT event_type AS g, value, user_id % 2 AS side FROM events), m AS (SELECT g, avg(value) FILTER (side = 0) AS a, avg(value) FILTER (side = 1) AS b, avg(value) AS c FROM h GROUP BY g) SELECT g, round(abs(a - b) / c, 5) AS dissimilarity FROM m""")
+def p_mean_gap(spark, d):
+    """The gap of two means over the common mean."""
     e = table(spark, d, "events").select(F.col("event_type").alias("g"), "value", (F.col("user_id") % 2).alias("side"))
     m = e.groupBy("g").agg(F.avg(F.when(F.col("side") == 0, F.col("value"))).alias("a"), F.avg(F.when(F.col("side") == 1, F.col("value"))).alias("b"), F.avg("value").alias("c"))
     return m.select("g", r(F.abs(F.col("a") - F.col("b")) / F.col("c"), 5).alias("dissimilarity"))
@@ -203,13 +205,13 @@ def p_subsample_distance(spark, d):
 @query("w_axis_scale", "SELECT c_nationkey AS label, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place FROM (SELECT DISTINCT c_nationkey FROM customer)")
 def w_axis_scale(spark, d):
     labels = table(spark, d, "customer").select(F.col("c_nationkey").alias("label")).distinct()
-    return labels.select("label", (F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy("label")) - 1).cast("long").alias("place"))
+    return running_sums(labels.withColumn("one", F.lit(1)), [], ["label"], {"upto": "one"}).select("label", (F.col("upto") - 1).cast("long").alias("place"))
 
 
-@query("b_resume", "SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 3 <> 0 ORDER BY 1 LIMIT 500")
+@query("b_resume", "SELECT o_orderkey AS event_id FROM orders WHERE o_orderkey % 3 <> 0")
 def b_resume(spark, d):
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("event_id"))
-    return catalog.unfinished(o, o.where("event_id % 3 = 0"), batch=500)
+    return catalog.unfinished(o, o.where("event_id % 3 = 0"))
 
 
 @query("s_metric_text", "SELECT 'Kt' AS class, 'Mass' AS variable, CAST(c_custkey + 0.5 AS DOUBLE) AS value FROM customer UNION ALL SELECT 'Cone', 'PT', CAST(-c_custkey AS DOUBLE) FROM customer")

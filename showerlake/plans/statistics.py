@@ -84,7 +84,7 @@ def l_vertices(spark, d):
     return geometry.vertices(p, 2.0)
 
 
-@query("u_stream_counts")
+@query("u_stream_counts", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
 def u_stream_counts(spark, d):
     """Windows over the event stream, run to the end of the available files."""
     from ..streaming.windows import run_available

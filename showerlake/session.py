@@ -39,9 +39,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; one is made only where none is set."""
+    """The checkpoint folder of the session; one is made only where none is set and this machine is the whole cluster."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="showerlake-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
