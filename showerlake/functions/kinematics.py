@@ -90,3 +90,21 @@ def add_all(df, prefix: str = ""):
     df = df.withColumns({f"{prefix}phi": phi(c("px"), c("py")), f"{prefix}pt": pt(c("px"), c("py"))})
     df = df.withColumns({f"{prefix}theta": theta(c("pt"), c("pz")), f"{prefix}rapidity": rapidity(c("pt"), c("pz"), c("energy")), f"{prefix}mass": mass(c("energy"), c("px"), c("py"), c("pz"))})
     return df.withColumn(f"{prefix}pseudorapidity", pseudorapidity(c("theta")))
+
+
+def chosen_theta(columns: list[str], prefix: str = ""):
+    """The polar angle from what there is: total momentum (birr) and pz, else pt and pz, else px, py and pz; None without these."""
+    c = lambda n: F.col(prefix + n)
+    have = {name.removeprefix(prefix) for name in columns if name.startswith(prefix)}
+    if {"birr", "pz"} <= have:
+        return F.acos(c("pz") / c("birr"))
+    if {"pt", "pz"} <= have:
+        return theta(c("pt"), c("pz"))
+    if {"px", "py", "pz"} <= have:
+        return theta(pt(c("px"), c("py")), c("pz"))
+    return None
+
+
+def flat_jet_mass(e: Column, pt_: Column, pz: Column) -> Column:
+    """Mass of a jet's root from its energy, transverse and longitudinal momentum; NaN where negative."""
+    return F.sqrt(e * e - pt_ * pt_ - pz * pz)

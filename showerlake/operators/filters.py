@@ -77,3 +77,19 @@ def without_empty_rows(df: DataFrame, scores: list[str]) -> DataFrame:
     for s in scores:
         hit = hit | finite(F.col(s))
     return df.where(hit)
+
+
+def without_empty_columns(df: DataFrame, scores: list[str]) -> DataFrame:
+    """The table without those of the score columns that hold no finite value at all; one pass, one row to the driver."""
+    found = df.agg(*(F.count(F.when(finite(F.col(s)), 1)).alias(s) for s in scores)).first()
+    return df.drop(*(s for s in scores if not found[s]))
+
+
+def matching(df: DataFrame, exact: dict, close: dict, rtol: float = 1e-5, atol: float = 1e-8) -> DataFrame:
+    """Rows equal to the `exact` values and near the `close` ones (|a - b| <= atol + rtol |b|)."""
+    hit = F.lit(True)
+    for name, value in exact.items():
+        hit = hit & F.col(name).eqNullSafe(F.lit(value))
+    for name, value in close.items():
+        hit = hit & (F.abs(F.col(name) - value) <= atol + rtol * abs(value))
+    return df.where(F.coalesce(hit, F.lit(False)))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KEYS = ["event_id"]
@@ -112,3 +112,20 @@ def hop_distance(nodes: DataFrame, edges: DataFrame, most: int, keys: list[str]
     both = edges.select(*keys, "parent", "child").union(edges.select(*keys, F.col("child"), F.col("parent")))
     reached = descendants(nodes.select(*keys, F.col("node").alias("start")), both, most, keys)
     return reached.groupBy(*keys, "start", "node").agg(F.min("depth").alias("hops"))
+
+
+def showers(nodes: DataFrame, edges: DataFrame, excluded: Column, keys: list[str], keep) -> DataFrame:
+    """(keys, start, node): all that each root reaches after the excluded nodes are taken out; a node may be in several showers."""
+    kept = keep(nodes.where(~excluded).select(*keys, "node").distinct())
+    inner = edges.join(kept.withColumnRenamed("node", "parent"), [*keys, "parent"], "left_semi").join(kept.withColumnRenamed("node", "child"), [*keys, "child"], "left_semi").select(*keys, "parent", "child")
+    inner = keep(inner)
+    starts = roots(kept, inner, keys).withColumnRenamed("node", "start")
+    return walk(starts, inner, keys, keep).select(*keys, "start", "node").distinct()
+
+
+def shower_facts(reached: DataFrame, labels: DataFrame, edges: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, start, n, n_ends, flavour): size of each shower, how many of its nodes have no child, and its root's label."""
+    inner = edges.select(*keys, F.col("parent").alias("node")).distinct().withColumn("inner", F.lit(True))
+    sizes = reached.join(inner, [*keys, "node"], "left").groupBy(*keys, "start").agg(F.count("*").alias("n"), F.count(F.when(F.col("inner").isNull(), 1)).alias("n_ends"))
+    flavour = labels.groupBy(*keys, F.col("node").alias("start")).agg(F.array_join(F.sort_array(F.collect_set("label")), "+").alias("flavour"))
+    return sizes.join(flavour, [*keys, "start"], "left")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
 from .filters import finite
+from .ranges import running_sums
 
 MOMENTA = ["energy", "px", "py", "pz"]
 
@@ -87,3 +88,28 @@ def share_of_mass(links: DataFrame) -> DataFrame:
     with_mass = sums.select("event_id", "tag", "jet", K.mass2(*(F.col(c) for c in MOMENTA)).alias("mass2"))
     w = Window.partitionBy("event_id", "tag").orderBy(F.round("mass2", 6).desc(), "jet")
     return with_mass.withColumn("is_best", F.row_number().over(w) == 1)
+
+
+def combined_mass(events: DataFrame, members: DataFrame, tag_leaves: DataFrame, part: str = "both") -> DataFrame:
+    """(event_id, mass) of the chosen jets' inputs: all of them, those that are leaves of a tag (signal), or the others (background).
+
+    `members` has event_id, leaf and momenta, `tag_leaves` event_id and leaf; negative squares count as zero, and
+    an event without any member has mass zero.
+    """
+    if part not in ("both", "signal", "background"):
+        raise ValueError(f"no such part of a jet: {part}")
+    chosen = members
+    if part != "both":
+        chosen = members.join(tag_leaves.select("event_id", "leaf").distinct(), ["event_id", "leaf"], "left_semi" if part == "signal" else "left_anti")
+    return all_masses(events, chosen)
+
+
+def sorted_masses(masses: DataFrame, least: float = 1e-5) -> DataFrame:
+    """(event_id, mass, place) of masses above `least` in ascending order (ties: lower event), over all events."""
+    kept = masses.where(F.col("mass") > least).select("event_id", "mass", F.lit(1).alias("one"))
+    return running_sums(kept, [], ["mass", "event_id"], {"upto": "one"}).select("event_id", "mass", (F.col("upto") - 1).alias("place"))
+
+
+def leading_pair(pairs: DataFrame) -> DataFrame:
+    """(event_id, mass) of the pair of the two leading jets."""
+    return pairs.where("r1 = 1 and r2 = 2").select("event_id", "mass")

@@ -40,6 +40,11 @@ def quality_fraction(masses: DataFrame, group: str, mass: float, multiplier: flo
     return masses.groupBy(group).agg(F.count("*").alias("n")).join(inside.groupBy(group).agg(F.max("inside").alias("most")), group).select(group, (F.col("n") / F.col("most")).alias("events_per_window"))
 
 
+def quality_width_fraction(masses: DataFrame, group: str, mass: float, fraction: float, multiplier: float) -> DataFrame:
+    """Both qualities of a group; the number of masses wanted is kept between two and all, and nothing is an error."""
+    return quality_width(masses, group, fraction).join(quality_fraction(masses, group, mass, multiplier), group, "left")
+
+
 def gap_groups(rows: DataFrame, keys: list[str], value: str, gap: float) -> DataFrame:
     """Group number per key: a new one starts where sorted values are further apart than the gap."""
     w = Window.partitionBy(*keys).orderBy(value, "idx")

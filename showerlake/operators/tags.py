@@ -110,3 +110,20 @@ def compared(truth: DataFrame, found: DataFrame) -> DataFrame:
         (K.clipped_mass(*col("f")) / F.nullif(K.clipped_mass(*col("t")), F.lit(0.0))).alias("mass_ratio"),
         (F.col("f_n") / F.col("t_n")).alias("percent_found"),
     )
+
+
+def jet_labels(inputs: DataFrame, members: DataFrame) -> DataFrame:
+    """(event_id, idx, jet): the jet that holds each input, the last of several, -1 for none."""
+    last = members.groupBy("event_id", F.col("leaf").alias("idx")).agg(F.max("jet").alias("jet"))
+    return inputs.select("event_id", "idx").join(last, ["event_id", "idx"], "left").select("event_id", "idx", F.coalesce("jet", F.lit(-1)).alias("jet"))
+
+
+def jets_to_groups(links: DataFrame, groups: DataFrame) -> DataFrame:
+    """(event_id, jet, seed): the tag group of each tagged jet.
+
+    `links` has event_id, jet, tag and mass2 (the tag's share): a jet of several tags goes by the one of most mass
+    (ties: lowest tag). `groups` has event_id, seed and tag; a jet whose tag is in no group is left out.
+    """
+    of = links.groupBy("event_id", "jet").agg(F.max(F.struct(F.round("mass2", 6).alias("m"), (-F.col("tag")).alias("tag"))).alias("b"))
+    first = groups.groupBy("event_id", "tag").agg(F.min("seed").alias("seed"))
+    return of.select("event_id", "jet", (-F.col("b.tag")).alias("tag")).join(first, ["event_id", "tag"]).select("event_id", "jet", "seed")

@@ -34,7 +34,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import columns, graphs, more, relations, statistics  # noqa: F401  they register on import
+    from . import columns, extra, graphs, more, relations, statistics  # noqa: F401  they register on import
 
     return dict(QUERIES)
 

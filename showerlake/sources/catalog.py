@@ -149,3 +149,21 @@ def neighbour_settings(name: str, best: dict, step: float, ranges: dict[str, tup
             size = max(1, round(step * (high - low))) if domain is int else step * (high - low)
             out += [best | {key: moved} for moved in (value - size, value + size) if low <= moved <= high]
     return out
+
+
+def remove_scores(params: DataFrame, suffixes: list[str]) -> DataFrame:
+    """Stored settings without the scores of an earlier run, told by the ends of their names."""
+    old = F.lit(False)
+    for suffix in suffixes:
+        old = old | F.col("param").endswith(suffix)
+    return params.where(~old)
+
+
+def rename(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns renamed; a name that is not there or would be there twice is an error."""
+    if absent := sorted(set(names) - set(df.columns)):
+        raise ValueError(f"no such columns: {absent}")
+    after = [names.get(c, c) for c in df.columns]
+    if len(set(after)) < len(after):
+        raise ValueError("two columns would share a name")
+    return df.toDF(*after)
