@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 
-PI = np.pi
+PI, INF = float(np.pi), float("inf")
 COLUMNS = ["pt", "rapidity", "phi", "energy", "px", "py", "pz"]
 
 
@@ -66,29 +66,100 @@ class Tree:
         return [{**r, "jet": self.root(i)} for i, r in enumerate(self.rows)]
 
 
+def _scalar_distance(kind: str):
+    """The distance of two pseudojets as a plain function; events are small, and arrays of few numbers cost more than they save."""
+
+    def dot(a: dict, b: dict) -> float:
+        return a["px"] * b["px"] + a["py"] * b["py"] + a["pz"] * b["pz"]
+
+    def apart(a: dict, b: dict) -> tuple[float, float]:
+        return a["rapidity"] - b["rapidity"], abs((a["phi"] - b["phi"] + PI) % (2 * PI) - PI)
+
+    def angular(a: dict, b: dict) -> float:
+        dy, dphi = apart(a, b)
+        return dy * dy + dphi * dphi
+
+    def taxicab(a: dict, b: dict) -> float:
+        dy, dphi = apart(a, b)
+        return abs(dy) + dphi
+
+    def normed(a: dict, b: dict) -> float:
+        return 1 - dot(a, b) / ((a["energy"] or 1e-10) * (b["energy"] or 1e-10))
+
+    def invarient(a: dict, b: dict) -> float:  # before it is divided by the mass of all
+        return a["energy"] * b["energy"] - dot(a, b)
+
+    return {"angular": angular, "taxicab": taxicab, "normed": normed, "invarient": invarient}[kind]
+
+
+def _power(x: float, p: float) -> float:
+    return INF if x == 0 and p < 0 else x**p
+
+
 def generalised_kt(e: dict, delta_r: float = 0.8, power: float = -1.0, kind: str = "angular", pt_format: str = "min") -> list[dict]:
-    """Sequential merging: power -1 anti-kt, 0 Cambridge/Aachen, 1 kt; a pseudojet nearest to the beam becomes a jet."""
-    tree, active = Tree(e), list(range(len(e["pt"])))
-    while active:
-        now = {c: np.array([tree.rows[i][c] for i in active]) for c in COLUMNS}
-        d = distances2(now, kind)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            weight = now["pt"] ** (2 * power)
-            if pt_format == "min":
-                d = d * np.minimum(weight[:, None], weight[None, :])
-            else:
-                total = now["pt"][:, None] + now["pt"][None, :]
-                d = d * (now["pt"][:, None] * now["pt"][None, :]) ** (2 * power) * total ** (-2 * power)
-        d[np.isnan(d)] = 0
-        np.fill_diagonal(d, delta_r**2 * weight)
-        i, j = divmod(int(d.argmin()), len(active))
-        if i == j:
-            del active[i]
-            continue
-        new = tree.merge(active[i], active[j], float(np.sqrt(max(d[i, j], 0.0))))
-        for k in sorted((i, j), reverse=True):
-            del active[k]
-        active.append(new)
+    """Sequential merging: power -1 anti-kt, 0 Cambridge/Aachen, 1 kt; a pseudojet nearest to the beam becomes a jet.
+
+    Each pseudojet keeps its nearest partner of higher number, so a merge computes one row of distances and
+    looks again only for the partners that went: a square of the inputs in all, but for ties.
+    """
+    tree, between, p = Tree(e), _scalar_distance(kind), 2 * power
+    rows, alive = tree.rows, list(range(len(e["pt"])))
+    pairs: list[dict[int, float]] = []
+    weight: list[float] = []
+    least: list[float] = []
+    partner: list[int] = []
+
+    def distance(i: int, j: int) -> float:
+        if pt_format == "min":
+            factor = min(weight[i], weight[j])
+        else:
+            one, two = rows[i]["pt"], rows[j]["pt"]
+            factor = _power(one * two, p) * _power(one + two, -p)
+        found = between(rows[i], rows[j]) * factor
+        return 0.0 if found != found else found
+
+    def look(i: int) -> None:
+        """The nearest of the pseudojets after i, the first of several."""
+        own = pairs[i]
+        partner[i] = min((j for j in alive if j > i), key=own.__getitem__, default=-1)
+        least[i] = own[partner[i]] if partner[i] >= 0 else INF
+
+    for row in rows:
+        weight.append(_power(row["pt"], p))
+        least.append(INF)
+        partner.append(-1)
+        pairs.append({})
+    for i in alive:
+        pairs[i] = {j: distance(i, j) for j in alive if j > i}
+        look(i)
+    while alive:
+        scale = 1.0
+        if kind == "invarient":
+            total = [sum(rows[i][c] for i in alive) for c in ("energy", "px", "py", "pz")]
+            scale = total[0] ** 2 - total[1] ** 2 - total[2] ** 2 - total[3] ** 2
+            scale = scale if scale > 0 else 1.0
+        i, k = min(alive, key=least.__getitem__), min(alive, key=weight.__getitem__)
+        nearest, beam = least[i] / scale, delta_r**2 * weight[k]
+        if nearest < beam or (nearest == beam < INF and i < k):
+            gone = (i, partner[i])
+            made = tree.merge(*gone, max(nearest, 0.0) ** 0.5)
+        else:
+            gone, made = (k,), -1
+        for x in gone:
+            alive.remove(x)
+        for x in alive:
+            if partner[x] in gone:
+                look(x)
+        if made >= 0:
+            weight.append(_power(rows[made]["pt"], p))
+            least.append(INF)
+            partner.append(-1)
+            pairs.append({})
+            for x in alive:
+                d = pairs[x][made] = distance(x, made)
+                if d < least[x]:
+                    least[x], partner[x] = d, made
+            alive.append(made)
     return tree.jets()
 
 
@@ -148,24 +219,73 @@ def _labels(groups: list[list[int]], n: int) -> np.ndarray:
     return out
 
 
-def spectral(e: dict, delta_r: float = 0.5, stop: str = "mean", refresh: bool = False, **settings) -> np.ndarray:
+def eigen_distance(x: np.ndarray, y: np.ndarray, kind: str = "euclidien") -> np.ndarray:
+    """Distances of points in eigenspace: straight, the angle between them, or the angle whose cosine counts from its far side."""
+    if kind == "euclidien":
+        return np.sqrt(((x[:, None] - y[None, :]) ** 2).sum(-1))
+    size = np.maximum(np.sqrt((x * x).sum(1))[:, None] * np.sqrt((y * y).sum(1))[None, :], 1e-300)
+    cosine = np.clip(x @ y.T / size, -1, 1)
+    if kind == "spherical":
+        return np.arccos(cosine)
+    if kind == "abscos":
+        return np.arccos(np.clip(1 - np.abs(1 - cosine), -1, 1))
+    raise ValueError(f"no such distance: {kind}")
+
+
+def conductance(links: np.ndarray, sizes: np.ndarray, inside: list[int]) -> float:
+    """Affinity that leaves a group over the size of the group (or of everything, if that is less)."""
+    outside = np.setdiff1d(np.arange(len(links)), inside)
+    size = min(sizes[inside].sum(), sizes.sum())
+    return float(links[np.ix_(inside, outside)].sum() / size) if size > 0 else float("inf")
+
+
+def spectral(e: dict, delta_r: float = 0.5, stop: str = "mean", refresh: bool = False, eigen: str = "euclidien", **settings) -> np.ndarray:
     """Agglomeration in the eigenspace; merged points sit at their mean, or are embedded anew with `refresh`.
 
     stop: `mean` ends when the mean distance exceeds delta_r, `standard` when the least one does.
+    `beamparticle` has a point more, of ones, and a group nearest to it becomes a jet. `conductance` makes a
+    jet of each group of a pair that holds together better than their merger would.
     """
+    if stop not in ("mean", "standard", "beamparticle", "conductance"):
+        raise ValueError(f"no such stop: {stop}")
     n = len(e["pt"])
-    groups = [[i] for i in range(n)]
+    groups, jets = [[i] for i in range(n)], []
     if n < 3:
         return np.arange(n)
     now = {c: e[c].copy() for c in COLUMNS}
     _, x = embedding(now, **settings)
+    if stop == "conductance":
+        links = affinity(distances2(e), settings.get("kind", "exponent"), settings.get("exponent", 2.0), settings.get("sigma", 1.0), settings.get("neighbours"))
+        sizes = {"unnormalised": np.ones(n), "symmetric": links.sum(1), "pt": e["pt"], "energy": e["energy"]}[settings.get("laplacian", "symmetric")]
+        held = [conductance(links, sizes, g) for g in groups]
+
+    def leave(k: int) -> None:
+        nonlocal x, now
+        jets.append(groups.pop(k))
+        x, now = np.delete(x, k, 0), {c: np.delete(v, k) for c, v in now.items()}
+
     while len(groups) > 1:
-        d = np.sqrt(((x[:, None] - x[None, :]) ** 2).sum(-1))
+        d = eigen_distance(x, x, eigen)
         off = d[np.triu_indices(len(groups), 1)]
-        if (off.mean() if stop == "mean" else off.min()) > delta_r:
+        if stop in ("mean", "standard") and (off.mean() if stop == "mean" else off.min()) > delta_r:
             break
         np.fill_diagonal(d, np.inf)
+        if stop == "beamparticle":
+            beam = eigen_distance(x, np.ones((1, x.shape[1])), eigen)[:, 0]
+            if beam.min() < off.min():
+                leave(int(beam.argmin()))
+                continue
         i, j = sorted(divmod(int(d.argmin()), len(groups)))
+        if stop == "conductance":
+            together = conductance(links, sizes, groups[i] + groups[j])
+            firm = [k for k in (j, i) if held[k] < together]
+            for k in firm:
+                leave(k)
+                held.pop(k)
+            if firm:
+                continue
+            held[i] = together
+            held.pop(j)
         groups[i] += groups.pop(j)
         for c in ("energy", "px", "py", "pz"):
             now[c][i] += now[c][j]
@@ -177,7 +297,7 @@ def spectral(e: dict, delta_r: float = 0.5, stop: str = "mean", refresh: bool =
         else:
             x[i] = (x[i] + x[j]) / 2
             x = np.delete(x, j, 0)
-    return _labels(groups, n)
+    return _labels(jets + groups, n)
 
 
 def indicator(e: dict, base_jump: float = 0.05, eigen_factor: float = 0.1, **settings) -> np.ndarray:
@@ -220,26 +340,34 @@ def splitting(e: dict, max_cut: float = 0.3, **settings) -> np.ndarray:
     return _labels(groups, n)
 
 
-def spectral_kmeans(e: dict, clusters: int = 2, restarts: int = 12, seed: int = 5, rounds: int = 12, **settings) -> np.ndarray:
-    """k-means on the eigenspace with arccos(|cos|) distance; all restarts move together, the first best one counts."""
+def spectral_kmeans(e: dict, clusters: int = 2, restarts: int = 12, seed: int = 5, rounds: int = 12, recur: int = 5, most: int = 500, **settings) -> np.ndarray:
+    """k-means on the eigenspace with arccos(|cos|) distance, started anew until the best score has recurred.
+
+    Starts are seeded and move together, `restarts` at a time, until the best sum of distances has come up more
+    than `recur` times, or `most` starts are spent; the first best one counts.
+    """
     n = len(e["pt"])
     if n < 3 or n <= clusters:
         return np.arange(n)
     _, x = embedding(e, dimensions=clusters, **settings)
     x = x / np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
-    rng = np.random.default_rng(seed)
-    centres = x[np.argsort(rng.random((restarts, n)), axis=1)[:, :clusters]]
-    for _ in range(rounds):
-        cosine = np.abs(x @ centres.transpose(0, 2, 1))
-        owner = cosine.argmax(2)
-        mine = (owner[:, :, None] == np.arange(clusters)).astype(float)
-        sums = mine.transpose(0, 2, 1) @ x
-        size = np.sqrt((sums * sums).sum(2, keepdims=True))
-        new = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
-        if np.array_equal(new, centres):
-            break
-        centres = new
-    at = owner[np.arccos(np.clip(cosine.max(2), 0, 1)).sum(1).round(9).argmin()]
+    rng, best, times, at, spent = np.random.default_rng(seed), np.inf, 0, np.zeros(n, int), 0
+    while times <= recur and spent < most:
+        centres = x[np.argsort(rng.random((restarts, n)), axis=1)[:, :clusters]]
+        for _ in range(rounds):
+            cosine = np.abs(x @ centres.transpose(0, 2, 1))
+            owner = cosine.argmax(2)
+            mine = (owner[:, :, None] == np.arange(clusters)).astype(float)
+            sums = mine.transpose(0, 2, 1) @ x
+            size = np.sqrt((sums * sums).sum(2, keepdims=True))
+            new = np.where(size > 1e-12, sums / np.maximum(size, 1e-12), centres)
+            if np.array_equal(new, centres):
+                break
+            centres = new
+        scores = np.arccos(np.clip(cosine.max(2), 0, 1)).sum(1).round(9)
+        if scores.min() < best:
+            best, times, at = scores.min(), 0, owner[scores.argmin()]
+        times, spent = times + int((scores == best).sum()), spent + restarts
     return _labels([np.flatnonzero(at == k).tolist() for k in range(clusters) if (at == k).any()], n)
 
 

@@ -257,6 +257,16 @@ def c_spectral(spark, d):
     return clustering.labelled(inputs(spark, d), "spectral", delta_r=0.6)
 
 
+@query("c_spectral_conductance")
+def c_spectral_conductance(spark, d):
+    return clustering.labelled(inputs(spark, d), "spectral", stop="conductance")
+
+
+@query("c_spectral_beam")
+def c_spectral_beam(spark, d):
+    return clustering.labelled(inputs(spark, d), "spectral", stop="beamparticle", eigen="abscos")
+
+
 @query("c_spectral_full")
 def c_spectral_full(spark, d):
     return clustering.labelled(inputs(spark, d), "spectral", delta_r=0.6, refresh=True, neighbours=3)
