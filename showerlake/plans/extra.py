@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import kinematics as K
 from ..operators import filters, graph, joins, masses, ranking, sets, tags
 from ..session import keeper
-from ..sources import catalog
+from ..sources import catalog, hepmc
 from ..sources.particles import EDGES_SQL, edges, particles, table
 from ..sources.particles import PARTICLES_SQL as P
 from .graphs import _chain
@@ -155,3 +155,32 @@ def x_common_columns(spark, d):
     s = table(spark, d, "supplier").select(F.lit("supplier").alias("side"), F.col("s_nationkey").alias("nationkey"), "s_suppkey")
     common = sets.common_columns(c, s)
     return c.select(common).union(s.select(common))
+
+
+def _records(spark, d):
+    """Event and header lines of all orders, in sixteen files."""
+    text = lambda c: F.col(c).cast("string")
+    lines = [
+        F.concat_ws(" ", F.lit("E"), "o_orderkey", F.col("o_custkey") % 5, text("o_totalprice"), F.lit("0.25 0.5"), F.col("o_custkey") % 7, F.lit("-1 3 1 2 2"), F.col("o_custkey") % 11, F.lit("12 1"), text("o_totalprice")),
+        F.concat_ws(" ", F.lit("N 2"), F.concat(F.lit('"w'), F.col("o_custkey") % 3, F.lit('"')), F.lit('"nominal"')),
+        F.lit("U GEV MM"),
+        F.concat_ws(" ", F.lit("C"), text("o_totalprice"), F.lit("0.5")),
+    ]
+    rows = table(spark, d, "orders").select(F.pmod("o_orderkey", F.lit(16)).cast("string").alias("file"), "o_orderkey", F.posexplode(F.array(*lines)).alias("n", "line"))
+    return hepmc.from_lines(rows.select("file", (F.col("o_orderkey") * 8 + F.col("n")).alias("line_no"), "line"))
+
+
+@query("s_hepmc_events", "SELECT o_orderkey AS event_id, CAST(o_custkey % 5 AS INTEGER) AS n_interactions, o_totalprice AS scale, 0.25e0 AS alpha_qcd, 0.5e0 AS alpha_qed, CAST(o_custkey % 7 AS INTEGER) AS process, 3 AS n_vertices, CAST(o_custkey % 11 + 12 AS BIGINT) AS random_sum, o_totalprice AS weight FROM orders")
+def s_hepmc_events(spark, d):
+    e = _records(spark, d)["events"]
+    return e.select("event_id", "n_interactions", "scale", "alpha_qcd", "alpha_qed", "process", "n_vertices", (F.get("random_states", F.lit(0)) + F.get("random_states", F.lit(1))).alias("random_sum"), F.get("weights", F.lit(0)).alias("weight"))
+
+
+@query("s_hepmc_headers", "SELECT o_orderkey AS event_id, concat('w', o_custkey % 3, '|nominal') AS weight_names, 'GEV' AS momentum_unit, 'MM' AS length_unit, o_totalprice AS cross_section, 0.5e0 AS cross_section_error FROM orders")
+def s_hepmc_headers(spark, d):
+    return hepmc.decode_headers(_records(spark, d)["headers"]).withColumn("weight_names", F.array_join("weight_names", "|"))
+
+
+@query("s_hepmc_counts", "SELECT count(*) AS n_events, 0 AS n_particles, 0 AS n_vertices FROM orders")
+def s_hepmc_counts(spark, d):
+    return hepmc.counts(_records(spark, d))

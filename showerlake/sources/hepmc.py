@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.ranges import running_sums
+
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, line). Compressed files are read by their ending. Line numbers grow within a file."""
@@ -16,9 +18,12 @@ def from_lines(lines: DataFrame, start: int | None = None, stop: int | None = No
     """Tables events, headers, vertices and particles of lines (file, line_no, line).
 
     A line belongs to the last event line before it in its file; a particle starts at the last vertex
-    before it. Missing numbers are null. The window runs per file, so files are the unit of parallelism.
+    before it. Missing numbers are null. Events are numbered by running sums over ranges of lines, and what
+    follows is a window per event, so one large file is read by many tasks.
     """
-    w = Window.partitionBy("file").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select("file", "line_no", "line", F.when(F.trim("line").rlike(r"^E(\s|$)"), 1).otherwise(0).alias("is_event"))
+    lines = running_sums(marked, ["file"], ["line_no"], {"event_no": "is_event"}).where("event_no > 0")
+    w = Window.partitionBy("file", "event_no").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     f = F.split(F.trim("line"), r"\s+")
     field = lambda i, kind: F.get("f", F.lit(i)).try_cast(kind)
     tagged = lines.withColumn("f", f).withColumn("kind", F.get("f", F.lit(0)))
@@ -44,6 +49,26 @@ def from_lines(lines: DataFrame, start: int | None = None, stop: int | None = No
     return {"events": events, "headers": headers, "vertices": vertices, "particles": found}
 
 
+def decode_headers(headers: DataFrame) -> DataFrame:
+    """(event_id, weight_names, momentum_unit, length_unit, cross_section, cross_section_error) from header rows, one per event.
+
+    N lines hold a count and quoted names, U lines two units, C lines a value and its error; what is not there is null.
+    """
+    of = lambda kind, value: F.max(F.when(F.col("kind") == kind, value))
+    at = lambda i: F.get("values", F.lit(i))
+    names = F.transform(F.slice("values", 2, F.greatest(F.size("values"), F.lit(1))), lambda x: F.regexp_replace(x, "^\"|\"$", ""))
+    return headers.groupBy("event_id").agg(
+        of("N", names).alias("weight_names"), of("U", at(0)).alias("momentum_unit"), of("U", at(1)).alias("length_unit"),
+        of("C", at(0).try_cast("double")).alias("cross_section"), of("C", at(1).try_cast("double")).alias("cross_section_error"),
+    )
+
+
+def counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """(n_events, n_particles, n_vertices) of a parsed record."""
+    rows = [tables[name].select(*(F.lit(int(name == other)).alias(f"n_{other}") for other in ("events", "particles", "vertices"))) for name in ("events", "particles", "vertices")]
+    return rows[0].union(rows[1]).union(rows[2]).agg(*(F.coalesce(F.sum(f"n_{name}"), F.lit(0)).alias(f"n_{name}") for name in ("events", "particles", "vertices")))
+
+
 def to_lines(particles: DataFrame) -> DataFrame:
     """(file, line_no, line) from (event_id, idx, mcpid, px, py, pz, energy, start_vertex): event, vertex, particles.
 
