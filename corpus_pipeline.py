@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from showerlake.llm import op01_simhash, op04_bpe, op07_mixing, op09_language, op10_exact
-from showerlake.llm.common import Scratch, table
+from showerlake.llm.common import Scratch, sweep, table
 
 STAGES = [
     ("language", op09_language.stage),
@@ -19,15 +19,19 @@ STAGES = [
     ("encoding", op04_bpe.stage),
 ]
 
-#: SQL cannot express the trained stages; the tests compare run() with a brute-force version.
+#: SQL cannot express the trained stages; tests/llm/test_round_trips.py compares run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last stage's rows. Each stage's own tables go once its result is stored; null, empty and very long texts,
+    repeated rows and ids, empty tables and further columns are handled as the stages say."""
     scratch = Scratch(spark, "pipeline")
     docs, before = table(spark, sf_dir, "documents"), None
     for _, stage in STAGES:
+        others = list(Scratch.open_)
         docs, last = scratch.keep(stage(spark, docs, sf_dir)), before
+        sweep(*others)
         before = docs
         if last is not None:
             scratch.drop(last)
