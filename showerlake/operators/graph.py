@@ -129,3 +129,13 @@ def shower_facts(reached: DataFrame, labels: DataFrame, edges: DataFrame, keys:
     sizes = reached.join(inner, [*keys, "node"], "left").groupBy(*keys, "start").agg(F.count("*").alias("n"), F.count(F.when(F.col("inner").isNull(), 1)).alias("n_ends"))
     flavour = labels.groupBy(*keys, F.col("node").alias("start")).agg(F.array_join(F.sort_array(F.collect_set("label")), "+").alias("flavour"))
     return sizes.join(flavour, [*keys, "start"], "left")
+
+
+def nearest_of_kind(starts: DataFrame, edges: DataFrame, of_kind: DataFrame, keys: list[str], keep) -> DataFrame:
+    """(keys, start, node, depth): the nearest ancestor that is in `of_kind` (ties: the lowest), for starts that have one.
+
+    A start does not count as its own ancestor; the walk goes up to the roots.
+    """
+    up = edges.select(*keys, F.col("child").alias("parent"), F.col("parent").alias("child"))
+    above = walk(starts, up, keys, keep).where("depth > 0").join(of_kind.select(*keys, "node").distinct(), [*keys, "node"], "left_semi")
+    return above.groupBy(*keys, "start").agg(F.min(F.struct("depth", "node")).alias("b")).select(*keys, "start", "b.node", "b.depth")

@@ -104,3 +104,9 @@ def widths(points: DataFrame, linear: str, cyclic: str, group: list[str]) -> Dat
     most = lambda a, b: F.array_max(F.transform(a, lambda x: F.array_max(F.transform(b, lambda y: gap(x, y)))))
     far = F.array_max(F.transform("pts", lambda a, i: F.array_max(F.transform("pts", lambda b, j: F.when(i < j, most(a, b)).otherwise(0.0)))))
     return lists.select(*group, far.alias("width"))
+
+
+def linked(pairs_: DataFrame, distance: str, cutoff: float) -> DataFrame:
+    """(event_id, n_pairs, n_linked, sparsity): pairs of an event within the cutoff, and the share of pairs that are not."""
+    counted = pairs_.groupBy("event_id").agg(F.count("*").alias("n_pairs"), F.count(F.when(F.col(distance) <= cutoff, 1)).alias("n_linked"))
+    return counted.withColumn("sparsity", 1.0 - F.col("n_linked") / F.col("n_pairs"))

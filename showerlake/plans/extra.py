@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import kinematics as K
-from ..operators import filters, graph, joins, masses, ranking, sets, tags
+from ..operators import filters, graph, joins, masses, pairs, ranking, sets, tags
 from ..session import keeper
 from ..sources import catalog, hepmc
 from ..sources.particles import EDGES_SQL, edges, particles, table
 from ..sources.particles import PARTICLES_SQL as P
+from .columns import inputs
 from .graphs import _chain
 from .registry import query, r
-from .relations import MASS_SQL, TOP_SQL, _masses
+from .relations import MASS_SQL, PAIRS_SQL, TOP_SQL, _masses
 
 _PARTS = ("both", "signal", "background")
 
@@ -184,3 +186,36 @@ def s_hepmc_headers(spark, d):
 @query("s_hepmc_counts", "SELECT count(*) AS n_events, 0 AS n_particles, 0 AS n_vertices FROM orders")
 def s_hepmc_counts(spark, d):
     return hepmc.counts(_records(spark, d))
+
+
+@query("d_separations_rest", f"""WITH {PAIRS_SQL} SELECT event_id, i, j, round((abs(phi_a - phi_b) ** 3 + abs(ya - yb) ** 3) ** (1.0e0 / 3.0e0), 4) AS l3,
+ CASE WHEN abs(phi_a + phi_b) + abs(ya + yb) > 1e-3 THEN round((abs(phi_a - phi_b) + abs(ya - yb)) / (abs(phi_a + phi_b) + abs(ya + yb)), 5) END AS braycurtis,
+ round(coalesce(abs(phi_a - phi_b) / nullif(abs(phi_a) + abs(phi_b), 0), 0) + coalesce(abs(ya - yb) / nullif(abs(ya) + abs(yb), 0), 0), 7) AS canberra,
+ round(1 - (phi_a * phi_b + ya * yb) / sqrt((phi_a ** 2 + ya ** 2) * (phi_b ** 2 + yb ** 2)), 4) + 0.0e0 AS cosine, 1.0e0 - sign((phi_a - ya) * (phi_b - yb)) AS correlation FROM pairs""")
+def d_separations_rest(spark, d):
+    """The quotient of nearly opposite points, which only shows rounding, is left out."""
+    m = pairs.separations([F.col("phi_i"), F.col("rapidity_i")], [F.col("phi_j"), F.col("rapidity_j")])
+    return pairs.pairs(inputs(spark, d)).select("event_id", "i", "j", r(m["l3"]).alias("l3"), F.when(F.abs(F.col("phi_i") + F.col("phi_j")) + F.abs(F.col("rapidity_i") + F.col("rapidity_j")) > 1e-3, r(m["braycurtis"], 5)).alias("braycurtis"), r(m["canberra"], 7).alias("canberra"), r(m["cosine"]).alias("cosine"), r(m["correlation"]).alias("correlation"))
+
+
+@query("d_affinity_linear", f"WITH {PAIRS_SQL} SELECT event_id, i, j, round(max(sqrt(d2)) OVER (PARTITION BY event_id) - sqrt(d2), 4) + 0.0e0 AS linear FROM pairs")
+def d_affinity_linear(spark, d):
+    d2 = pairs.physical_distance2("angular")
+    least = F.min(-F.sqrt(d2)).over(Window.partitionBy("event_id"))
+    return pairs.pairs(inputs(spark, d)).select("event_id", "i", "j", r(pairs.affinity(d2, "linear", least=least)).alias("linear"))
+
+
+@query("d_linked", f"WITH {PAIRS_SQL} SELECT event_id, count(*) AS n_pairs, count(*) FILTER (round(sqrt(d2), 9) <= 1.5) AS n_linked, round(1 - count(*) FILTER (round(sqrt(d2), 9) <= 1.5) / count(*), 5) AS sparsity FROM pairs GROUP BY event_id")
+def d_linked(spark, d):
+    p = pairs.pairs(inputs(spark, d)).select("event_id", F.round(F.sqrt(pairs.physical_distance2("angular")), 9).alias("d"))
+    return pairs.linked(p, "d", 1.5).select("event_id", "n_pairs", "n_linked", r("sparsity", 5).alias("sparsity"))
+
+
+@query("g_nearest_ancestor", f"""WITH {EDGES_SQL} SELECT 4000000000000 + o_orderkey AS start, 2000000000000 + c_nationkey AS node, 2 AS depth FROM orders JOIN customer ON c_custkey = o_custkey
+UNION ALL SELECT child, 2000000000000 + c_nationkey, 3 FROM edges JOIN orders ON parent = 4000000000000 + o_orderkey JOIN customer ON c_custkey = o_custkey WHERE parent >= 4000000000000 AND parent < 5000000000000""")
+def g_nearest_ancestor(spark, d):
+    """The nation above each order and line item."""
+    e = edges(spark, d)
+    starts = e.where("child >= 4000000000000 and child < 6000000000000").select(F.col("child").alias("start"))
+    nations = e.where("child >= 2000000000000 and child < 3000000000000").select(F.col("child").alias("node"))
+    return graph.nearest_of_kind(starts, e, nations, [], keeper(spark)).select("start", "node", "depth")
