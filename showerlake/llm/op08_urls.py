@@ -65,17 +65,14 @@ def segments(raw: Column) -> Column:
     return F.transform(F.when(F.size(parts) > DEPTH, deep).otherwise(parts), lambda x: F.concat(F.lit("="), x))
 
 
-def _shapes(at: DataFrame, level: int, total: int) -> DataFrame:
-    """(host, parent, segment, same_shape): whether what lies below a child is spread as below all children of its node."""
-    below = F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))
-    seen = at.groupBy(*NODE, "segment", below.alias("below")).agg(F.sum("n").alias("o"))
-    pooled = seen.groupBy(*NODE, "below").agg(F.sum("o").alias("e"), F.count("*").alias("of"))
-    own = seen.groupBy(*NODE, "segment").agg(F.sum("o").alias("kn"))
-    node = pooled.groupBy(*NODE).agg(F.sum("e").alias("all"), (F.count("*") - 1).alias("freedom"), F.sum("of").alias("of"))
-    known = join_facts(seen, pooled, [*NODE, "below"], "of", total).drop("of")
-    known = join_facts(known, node, NODE, "of", total).drop("of").join(own, [*NODE, "segment"])
-    chi = known.groupBy(*NODE, "segment").agg((F.sum(F.col("o") * F.col("o") * F.col("all") / (F.col("e") * F.col("kn"))) - F.max("kn")).alias("chi"), F.max("freedom").alias("freedom"), F.max("kn").alias("kn"))
-    return chi.select(*NODE, "segment", ((F.col("kn") >= LEAST_PAGES) & (F.col("chi") <= F.col("freedom") + ALIKE * F.sqrt(2 * F.col("freedom")) + 1e-6)).alias("same_shape"))
+def _shapes(seen: DataFrame, pooled: DataFrame, kids: DataFrame, nodes: DataFrame, total: int) -> DataFrame:
+    """kids with same_shape: whether what lies below a child is spread as below all children of its node."""
+    known = join_facts(seen, pooled, [*NODE, "below"], "of", total).drop("of").join(kids.select(*NODE, "segment", "kn"), [*NODE, "segment"])
+    # the chi-square sum, but for the pages of the whole node, which are the same for all its children
+    chi = known.groupBy(*NODE, "segment").agg(F.sum(F.col("o") * F.col("o") / (F.col("e") * F.col("kn"))).alias("part"))
+    both = join_facts(kids.join(chi, [*NODE, "segment"]), nodes, NODE, "kids", total)
+    stat = F.col("part") * F.col("tn") - F.col("kn")
+    return both.withColumn("same_shape", (F.col("kn") >= LEAST_PAGES) & (stat <= F.col("freedom") + ALIKE * F.sqrt(2 * F.col("freedom")) + 1e-6))
 
 
 def _purity(blocked: Column, allowed: Column, prior: Column) -> Column:
@@ -90,37 +87,39 @@ def judge_templates(leaves: DataFrame, scratch: Scratch, spread: bool = False) -
     """
     even = F.lit(0.5)
     start = leaves.select("host", "raw", "segs", "n", "blocked", "allowed")
-    hosts = start.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"), F.count("*").alias("of"))
+    hosts = scratch.keep(start.groupBy("host").agg(F.sum("blocked").alias("hb"), F.sum("allowed").alias("ha"), F.count("*").alias("of")))
     total = start.count()
     now = scratch.keep(join_facts(start, hosts, ["host"], "of", total).select(*start.columns, (_purity(F.col("hb"), F.col("ha"), even) if spread else even).alias("purity")))
     levels = now.agg(F.max(F.size("segs"))).first()[0] or 0
     for level in range(levels):
         parent = F.slice("segs", 1, level) if level else F.array().cast("array<string>")
         at = now.filter(F.size("segs") > level).select("*", parent.alias("parent"), F.get("segs", F.lit(level)).alias("segment"))
-        kids = at.groupBy(*NODE, "segment").agg(F.sum("n").alias("kn"), F.sum("blocked").alias("kb"), F.sum("allowed").alias("ka"), F.count("*").alias("of"))
-        if spread:
-            kids = kids.join(_shapes(at, level, total), [*NODE, "segment"])
-        else:
-            kids = kids.withColumn("same_shape", (F.col("kb") + F.col("ka")) >= LEAST_LABELS)
+        below = F.coalesce(F.get("segs", F.lit(level + 1)), F.lit(""))
+        sums = [F.sum("n").alias("o"), F.sum("blocked").alias("ob"), F.sum("allowed").alias("oa"), F.count("*").alias("leaves")]
+        seen = scratch.keep(at.groupBy(*NODE, "segment", below.alias("below")).agg(*sums))  # all else of the level comes from this
+        kids = scratch.keep(seen.groupBy(*NODE, "segment").agg(F.sum("o").alias("kn"), F.sum("ob").alias("kb"), F.sum("oa").alias("ka"), F.sum("leaves").alias("of")))
+        pooled = scratch.keep(seen.groupBy(*NODE, "below").agg(F.sum("o").alias("e"), F.count("*").alias("of")))
         labelled = (F.col("kb") + F.col("ka")) >= LEAST_LABELS
         nodes = kids.groupBy(*NODE).agg(
             F.count("*").alias("kids"), F.sum("kn").alias("tn"), F.count(F.when(F.col("kn") == 1, 1)).alias("once"), F.sum(F.when(labelled, F.col("kb"))).alias("tb"), F.sum(F.when(labelled, F.col("ka"))).alias("ta")
         )
-        both = join_facts(kids, nodes, NODE, "kids", total)
+        nodes = scratch.keep(nodes.join(pooled.groupBy(*NODE).agg((F.count("*") - 1).alias("freedom")), NODE))
+        both = _shapes(seen, pooled, kids, nodes, total) if spread else join_facts(kids, nodes, NODE, "kids", total).withColumn("same_shape", labelled)
         n, m = F.col("kb") + F.col("ka"), F.col("tb") + F.col("ta")
-        pooled = F.col("tb") / m
-        error = F.sqrt(pooled * (1 - pooled) * (1 / n))
-        alike = F.col("same_shape") & (~labelled | F.coalesce(F.abs(F.col("kb") / n - pooled) <= ALIKE * error + 1e-9, F.lit(False)))
+        rate = F.col("tb") / m
+        error = F.sqrt(rate * (1 - rate) * (1 / n))
+        alike = F.col("same_shape") & (~labelled | F.coalesce(F.abs(F.col("kb") / n - rate) <= ALIKE * error + 1e-9, F.lit(False)))
         variable = (F.col("kids") >= LEAST_KIDS) & (F.col("once") >= NEW * F.col("tn")) & (F.col("kn") * F.col("kids") <= F.col("tn"))
         name = F.when(variable, "*").when((F.col("kids") > 1) & alike, "~").otherwise(F.col("segment"))
         named = scratch.keep(both.select(*NODE, "segment", name.alias("name"), "kb", "ka", "of"))
-        sums = named.groupBy(*NODE, "name").agg(F.sum("kb").alias("nb"), F.sum("ka").alias("na"), F.count("*").alias("kinds"))
-        facts = join_facts(named, sums, [*NODE, "name"], "kinds", total).select(*NODE, "segment", "name", "nb", "na", "of")
-        joined = join_facts(at, scratch.keep(facts), [*NODE, "segment"], "of", total)
+        branches = scratch.keep(named.groupBy(*NODE, "name").agg(F.sum("kb").alias("nb"), F.sum("ka").alias("na"), F.count("*").alias("kinds")))
+        facts = scratch.keep(join_facts(named, branches, [*NODE, "name"], "kinds", total).select(*NODE, "segment", "name", "nb", "na", "of"))
+        joined = join_facts(at, facts, [*NODE, "segment"], "of", total)
         segs = F.concat(F.col("parent"), F.array("name"), F.slice("segs", level + 2, DEPTH + 1))
         moved = joined.select("host", "raw", segs.alias("segs"), "n", "blocked", "allowed", _purity(F.col("nb"), F.col("na"), 0.5 + TOWARDS * (F.col("purity") - 0.5) if spread else even).alias("purity"))
         after = scratch.keep(now.filter(F.size("segs") <= level).union(moved.select(*now.columns)))
-        scratch.drop(now)
+        for done in (now, seen, kids, pooled, nodes, named, branches, facts):
+            scratch.drop(done)
         now = after
     plain = F.transform("segs", lambda x: F.regexp_replace(x, "^=", ""))
     return now.select("host", "raw", F.concat(F.lit("/"), F.array_join(plain, "/")).alias("template"), "purity")
