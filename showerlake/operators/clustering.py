@@ -60,11 +60,11 @@ def per_group(rows: DataFrame, keys: list[str], order: list[str], columns: list[
     return rows.select(*keys, *columns, *[o for o in order if o not in columns and o not in keys]).repartition(*keys).sortWithinPartitions(*keys, *order).select(*keys, *columns).mapInArrow(run, schema)
 
 
-def generalised_kt(inputs: DataFrame, delta_r: float = 0.8, power: float = -1.0, kind: str = "angular", pt_format: str = "min") -> DataFrame:
-    """Pseudojet trees of every event; `jet` is the root's index."""
+def generalised_kt(inputs: DataFrame, delta_r: float = 0.8, power: float = -1.0, kind: str = "angular", pt_format: str = "min", closer2: float | None = None) -> DataFrame:
+    """Pseudojet trees of every event; `jet` is the root's index. The settings are those of kernels.generalised_kt."""
 
     def kernel(e: dict) -> dict:
-        found = kernels.generalised_kt(e, delta_r, power, kind, pt_format)
+        found = kernels.generalised_kt(e, delta_r, power, kind, pt_format, closer2)
         return {"event_id": np.full(len(found), e["event_id"][0])} | {c: np.array([r[c] for r in found]) for c in found[0]}
 
     return per_group(inputs, ["event_id"], ["input_idx"], kernels.COLUMNS, kernel, TREE_SCHEMA)

@@ -96,12 +96,16 @@ def _power(x: float, p: float) -> float:
     return INF if x == 0 and p < 0 else x**p
 
 
-def generalised_kt(e: dict, delta_r: float = 0.8, power: float = -1.0, kind: str = "angular", pt_format: str = "min") -> list[dict]:
+def generalised_kt(e: dict, delta_r: float = 0.8, power: float = -1.0, kind: str = "angular", pt_format: str = "min", closer2: float | None = None) -> list[dict]:
     """Sequential merging: power -1 anti-kt, 0 Cambridge/Aachen, 1 kt; a pseudojet nearest to the beam becomes a jet.
 
     Each pseudojet keeps its nearest partner of higher number, so a merge computes one row of distances and
     looks again only for the partners that went: a square of the inputs in all, but for ties.
+    With `closer2`, the square of delta_r as written, a pair that has the beam's weight merges only if its squared
+    distance is below that: neither a tie nor the rounding of a weighted distance decides (`min`, not `invarient`).
     """
+    if closer2 is not None and (pt_format != "min" or kind == "invarient"):
+        raise ValueError("closer2 needs the weight min and a distance without scale")
     tree, between, p = Tree(e), _scalar_distance(kind), 2 * power
     rows, alive = tree.rows, list(range(len(e["pt"])))
     pairs: list[dict[int, float]] = []
@@ -140,7 +144,10 @@ def generalised_kt(e: dict, delta_r: float = 0.8, power: float = -1.0, kind: str
             scale = scale if scale > 0 else 1.0
         i, k = min(alive, key=least.__getitem__), min(alive, key=weight.__getitem__)
         nearest, beam = least[i] / scale, delta_r**2 * weight[k]
-        if nearest < beam or (nearest == beam < INF and i < k):
+        merges = nearest < beam or (nearest == beam < INF and i < k)
+        if closer2 is not None and partner[i] >= 0 and min(weight[i], weight[partner[i]]) == weight[k]:
+            merges = between(rows[i], rows[partner[i]]) < closer2
+        if merges:
             gone = (i, partner[i])
             made = tree.merge(*gone, max(nearest, 0.0) ** 0.5)
         else:

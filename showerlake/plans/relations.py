@@ -243,7 +243,7 @@ def c_pairs_only(spark, d):
     """Events of two inputs: one jet if they are closer than the radius, else two."""
     i = inputs(spark, d)
     two = i.groupBy("event_id").agg(F.count("*").alias("n")).where("n = 2").select("event_id")
-    trees = clustering.generalised_kt(i.join(two, "event_id", "left_semi"), 0.8, -1.0)
+    trees = clustering.generalised_kt(i.join(two, "event_id", "left_semi"), 0.8, -1.0, closer2=0.64)
     return trees.groupBy("event_id").agg(F.countDistinct("jet").cast("int").alias("n_jets"))
 
 
