@@ -6,6 +6,8 @@ go to the first pair in row-major order.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 PI, INF = float(np.pi), float("inf")
@@ -31,6 +33,22 @@ def distances2(e: dict, kind: str = "angular") -> np.ndarray:
     return dy * dy + dphi * dphi
 
 
+def width(points: list[tuple[float, float]]) -> float:
+    """Largest distance of two points (linear, angle), the angles turned to their circular mean.
+
+    Sums run in the order given, with the C library's functions, as in SQL engines: where a point lies opposite the
+    mean their last digits decide on which side it falls, and numpy's and Java's functions have others.
+    """
+    points = [(y, a) for y, a in points if y is not None and a is not None]
+    up = along = 0.0
+    for _, a in points:
+        up += math.sin(a)
+        along += math.cos(a)
+    start = math.atan2(up, along)
+    turned = [(y, a - start + PI - 2 * PI * math.floor((a - start + PI) / (2 * PI)) - PI) for y, a in points]
+    return max(math.sqrt((y - z) * (y - z) + (a - b) * (a - b)) for y, a in turned for z, b in turned)
+
+
 def rapidity_of(energy: float, pz: float, pt: float) -> float:
     if pz == 0:
         return 0.0

@@ -63,7 +63,7 @@ def d_neighbours(spark, d):
 w AS (SELECT p.event_id, idx, rap, (phi - c + 3.141592653589793e0) - 6.283185307179586e0 * floor((phi - c + 3.141592653589793e0) / 6.283185307179586e0) - 3.141592653589793e0 AS f FROM particles p JOIN c USING (event_id))
 SELECT a.event_id, round(max(sqrt((a.rap - b.rap) ** 2 + (a.f - b.f) ** 2)), 4) AS width FROM w a JOIN w b ON a.event_id = b.event_id GROUP BY a.event_id""")
 def d_width(spark, d):
-    return pairs.widths(particles(spark, d), "rap", "phi", ["event_id"]).select("event_id", r("width").alias("width"))
+    return pairs.widths(particles(spark, d), "rap", "phi", ["event_id"], order="idx").select("event_id", r("width").alias("width"))
 
 
 @query("j_heritage", f"""WITH {P}, v AS (SELECT event_id, idx, idx // 2 AS s, idx + 1 AS e FROM particles),

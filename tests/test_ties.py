@@ -22,3 +22,12 @@ def test_two_inputs_at_the_radius(spark, tmp_path):
     lines = [(k * 10 + m, n, *end, pt) for k, pair in enumerate(cases) for m, pts in enumerate(sizes) for n, (end, pt) in enumerate(zip(pair, pts))]
     got, want = against_sql(spark, tmp_path, "c_pairs_only", lines)
     assert len(want) == 60 and {jets for _, jets in want} == {1, 2} and got == want
+
+
+def test_a_point_opposite_the_centre(spark, tmp_path):
+    events = [
+        [(2, 14266, 381), (4, 13630, 939), (4, 13634, 24)], [(1, 233, 588), (1, 10354, 623), (5, 5980, 398)], [(3, 3129, 834), (5, 3995, 112), (7, 14280, 413)],
+        [(3, 14885, 659), (6, 19, 54), (6, 8498, 987)], [(2, 14582, 455), (4, 19778, 380), (5, 14326, 348)], [(4, 808, 282), (5, 8063, 547), (6, 15944, 550)], [(1, 7, 7)],
+    ]
+    got, want = against_sql(spark, tmp_path, "d_width", [(k, n, p, s, 1) for k, e in enumerate(events) for n, p, s in e])
+    assert len(want) == 7 and got == want
