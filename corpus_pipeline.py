@@ -6,17 +6,32 @@ the next stage's input, so lineage is cut and a lost executor repeats part of on
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
 from showerlake.llm import op01_simhash, op04_bpe, op07_mixing, op09_language, op10_exact
-from showerlake.llm.common import Scratch, sweep, table
+from showerlake.llm.common import Scratch, release_heaps, sweep, table
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _lean(stage: Stage) -> Stage:
+    """The stage, begun with the heaps that the one before it needed given back."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release_heaps(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
+
 
 STAGES = [
-    ("language", op09_language.stage),
-    ("exact_dedup", op10_exact.stage),
-    ("near_dedup", op01_simhash.stage),
-    ("mixing", op07_mixing.stage),
-    ("encoding", op04_bpe.stage),
+    ("language", _lean(op09_language.stage)),
+    ("exact_dedup", _lean(op10_exact.stage)),
+    ("near_dedup", _lean(op01_simhash.stage)),
+    ("mixing", _lean(op07_mixing.stage)),
+    ("encoding", _lean(op04_bpe.stage)),
 ]
 
 #: SQL cannot express the trained stages; tests/llm/test_round_trips.py compares run() with a brute-force version.

@@ -82,6 +82,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def release_heaps(spark: SparkSession) -> None:
+    """Collect garbage on the driver and the executors, whose heaps then shrink to a few times what is in use.
+
+    A heap keeps the size that the busiest stage gave it, beside the Python workers of the next. One task for each
+    core reaches every executor that has its cores free; one that is missed merely keeps its heap.
+    """
+    gc.collect()  # frames that Python no longer holds let go of their broadcasts
+    spark._jvm.System.gc()
+    cores = spark.sparkContext.defaultParallelism
+    spark.range(0, cores, 1, cores).select(F.java_method(F.lit("java.lang.System"), F.lit("gc")).alias("done")).collect()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only; null counts as empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, UPPER.lower())

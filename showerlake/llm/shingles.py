@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitslice import bucket_edges, bucket_links
-from .common import Scratch, fresh, is_small, join_facts, release_memory, slices, text_mark
+from .common import Scratch, fresh, is_small, join_facts, release_heaps, release_memory, slices, text_mark
 from .components import Forest, connected_components
 
 WIDTH, SIMILAR = 5, 0.8
@@ -242,6 +242,7 @@ def similar_groups(docs: DataFrame, scratch: Scratch, width: int = WIDTH, least:
     names = fresh(docs, "some_id", "some_mark")
     ids = scratch.keep(some.toDF(*names))
     wanted = docs["doc_id"].cast("long").eqNullSafe(F.col(names[0])) & (text_mark(docs["text"]) == F.col(names[1]))
+    release_heaps(scratch.spark)  # the shuffle of the bands grew them, and the next step is Python's
     held = scratch.keep(sets(docs.join(F.broadcast(ids) if is_small(ids) else ids, wanted, "left_semi"), width))
     found = families(shared, held, least, scratch)
     links = compared(found, held, least, scratch)

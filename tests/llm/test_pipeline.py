@@ -37,3 +37,13 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
             assert {r["doc_id"] for r in docs.collect()} == {r["doc_id"] for r in kept}
     assert sizes[0] == 121 and sizes[1] == 120 and sizes[3] == sizes[4] > 40
     assert sorted(tuple(r)[:2] for r in corpus_pipeline.run(spark, str(tmp_path)).collect()) == sorted(tuple(r)[:2] for r in docs.collect())
+
+
+def test_each_stage_begins_with_released_heaps(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans
+    whole = lambda: sum(b.getCollectionCount() for b in beans() if b.getName() in ("G1 Old Generation", "PS MarkSweep", "MarkSweepCompact"))
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        before = whole()
+        stage(spark, empty, "")
+        assert whole() >= before + 2, name  # the driver's and, from tasks, the executors' (here the same)
